@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, url_filter
+from millrace.llm import chat_format, mixing, quality, secret_scan, url_filter
 from millrace.llm.common import table
 
 # Rules of the URL filter, in the order of the contract.
@@ -20,6 +20,34 @@ URL_RULES = (
 LISTED_HOSTS = r"(^|\.)(spam-|ads-|cheap-pills|casino-win)"
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts of the base rules, a digest of their spans, and all spans."""
+    found = table(spark, sf_dir, "documents").select("doc_id", secret_scan.secrets(F.col("text")).alias("spans"))
+
+    def of(*kinds: str) -> Column:
+        return F.filter("spans", lambda span: span["kind"].isin(*kinds))
+
+    base = of("assign", "access", "hex")
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.span_text(base), 256).alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    found = quality.scored(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score")
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and -7, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], turns.schema)
+    return chat_format.digests(chat_format.format_segments(turns.unionByName(extra)))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's share of a mix by source: weights 3, 1, 2, 150 % of all words, at most 2 copies."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
@@ -49,5 +77,5 @@ SELECT p.page_id, p.host, p.path, b.rule,
 FROM parsed p LEFT JOIN best b USING (page_id)
 """
 
-QUERIES = {"op7_mixing": op7_mixing, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_quality": op2_quality, "op4_chat_format": op4_chat_format, "op7_mixing": op7_mixing, "op10_url_filter": op10_url_filter}
 ORACLES = {"op10_url_filter": OP10_SQL}
