@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, mixing, quality, secret_scan, url_filter
+from millrace.llm import chat_format, html_extract, mixing, quality, secret_scan, url_filter
 from millrace.llm.common import table
 
 # Rules of the URL filter, in the order of the contract.
@@ -40,6 +40,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html_extract.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and -7, formatted and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -77,5 +83,5 @@ SELECT p.page_id, p.host, p.path, b.rule,
 FROM parsed p LEFT JOIN best b USING (page_id)
 """
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_quality": op2_quality, "op4_chat_format": op4_chat_format, "op7_mixing": op7_mixing, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_quality": op2_quality, "op3_html_extract": op3_html_extract, "op4_chat_format": op4_chat_format, "op7_mixing": op7_mixing, "op10_url_filter": op10_url_filter}
 ORACLES = {"op10_url_filter": OP10_SQL}
