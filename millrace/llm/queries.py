@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, html_extract, mixing, quality, secret_scan, url_filter
+from millrace.llm import chat_format, decontaminate, html_extract, mixing, quality, secret_scan, url_filter
 from millrace.llm.common import table
 
 # Rules of the URL filter, in the order of the contract.
@@ -60,6 +60,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark")
+    found = docs.select("doc_id", F.explode(decontaminate.leaks(docs, items)).alias("leak"))
+    return found.select("doc_id", "leak.*")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule and verdict of every page's URL."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -83,5 +91,5 @@ SELECT p.page_id, p.host, p.path, b.rule,
 FROM parsed p LEFT JOIN best b USING (page_id)
 """
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_quality": op2_quality, "op3_html_extract": op3_html_extract, "op4_chat_format": op4_chat_format, "op7_mixing": op7_mixing, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_quality": op2_quality, "op3_html_extract": op3_html_extract, "op4_chat_format": op4_chat_format, "op7_mixing": op7_mixing, "op8_decontaminate": op8_decontaminate, "op10_url_filter": op10_url_filter}
 ORACLES = {"op10_url_filter": OP10_SQL}
