@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, decontaminate, html_extract, mixing, quality, secret_scan, url_filter
+from millrace.llm import chat_format, decontaminate, html_extract, mixing, quality, secret_scan, substring_dedup, url_filter
 from millrace.llm.common import table
 
 # Rules of the URL filter, in the order of the contract.
@@ -68,6 +68,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leak.*")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated windows of 35 words leave of every document."""
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=35)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule and verdict of every page's URL."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -91,5 +96,5 @@ SELECT p.page_id, p.host, p.path, b.rule,
 FROM parsed p LEFT JOIN best b USING (page_id)
 """
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_quality": op2_quality, "op3_html_extract": op3_html_extract, "op4_chat_format": op4_chat_format, "op7_mixing": op7_mixing, "op8_decontaminate": op8_decontaminate, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_quality": op2_quality, "op3_html_extract": op3_html_extract, "op4_chat_format": op4_chat_format, "op7_mixing": op7_mixing, "op8_decontaminate": op8_decontaminate, "op9_substring_dedup": op9_substring_dedup, "op10_url_filter": op10_url_filter}
 ORACLES = {"op10_url_filter": OP10_SQL}
