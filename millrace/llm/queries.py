@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, decontaminate, html_extract, mixing, near_dup, quality, secret_scan, substring_dedup, url_filter
+from millrace.llm import ann, chat_format, decontaminate, html_extract, mixing, near_dup, quality, secret_scan, substring_dedup, url_filter
 from millrace.llm.common import table
 
 # Rules of the URL filter, in the order of the contract.
@@ -54,6 +54,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_segments(turns.unionByName(extra)))
 
 
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class and the links of every document: five words, Jaccard 0.8 or more."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -101,5 +106,5 @@ SELECT p.page_id, p.host, p.path, b.rule,
 FROM parsed p LEFT JOIN best b USING (page_id)
 """
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_quality": op2_quality, "op3_html_extract": op3_html_extract, "op4_chat_format": op4_chat_format, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_mixing": op7_mixing, "op8_decontaminate": op8_decontaminate, "op9_substring_dedup": op9_substring_dedup, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_quality": op2_quality, "op3_html_extract": op3_html_extract, "op4_chat_format": op4_chat_format, "op5_multi_index": op5_multi_index, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_mixing": op7_mixing, "op8_decontaminate": op8_decontaminate, "op9_substring_dedup": op9_substring_dedup, "op10_url_filter": op10_url_filter}
 ORACLES = {"op10_url_filter": OP10_SQL}
