@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, chat_format, decontaminate, html_extract, mixing, near_dup, quality, secret_scan, substring_dedup, url_filter
+from millrace.llm import ann, chat_format, decontaminate, html_extract, mixing, near_dup, oracles, quality, secret_scan, substring_dedup, url_filter
 from millrace.llm.common import table
 
 # Rules of the URL filter, in the order of the contract.
@@ -51,7 +51,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], turns.schema)
-    return chat_format.digests(chat_format.format_segments(turns.unionByName(extra)))
+    return chat_format.digests(chat_format.format_segments(turns.unionByName(extra))).drop("problem")
 
 
 def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,20 +91,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-OP10_SQL = r"""
-WITH parsed AS (
-  SELECT page_id,
-         coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
-  FROM pages),
-rules(action, rhost, rpath) AS (VALUES ('allow','org','/'), ('block','example.org','/es/'), ('block','example.org','/en/1'), ('allow','com','/fr/'), ('block','com','/de/')),
-best AS (
-  SELECT page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(action, length(rhost || rpath)) AS action
-  FROM parsed JOIN rules ON ends_with('.' || host, '.' || rhost) AND starts_with(path, rpath) GROUP BY page_id)
-SELECT p.page_id, p.host, p.path, b.rule,
-       coalesce(b.action, CASE WHEN regexp_matches(p.host, '(^|\.)(spam-|ads-|cheap-pills|casino-win)') THEN 'block' ELSE 'allow' END) AS verdict
-FROM parsed p LEFT JOIN best b USING (page_id)
-"""
-
 QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_quality": op2_quality, "op3_html_extract": op3_html_extract, "op4_chat_format": op4_chat_format, "op5_multi_index": op5_multi_index, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_mixing": op7_mixing, "op8_decontaminate": op8_decontaminate, "op9_substring_dedup": op9_substring_dedup, "op10_url_filter": op10_url_filter}
-ORACLES = {"op10_url_filter": OP10_SQL}
+ORACLES = {
+    "op1_secret_scan": oracles.SECRETS,
+    "op4_chat_format": oracles.CHAT,
+    "op6_ngram_jaccard": oracles.NEAR,
+    "op9_substring_dedup": oracles.REPEATS,
+    "op10_url_filter": oracles.URLS,
+}
