@@ -60,18 +60,22 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each round points a node to its smallest neighbour and contracts the edges, so that rounds grow with the
     logarithm of a component's size. Edges and labels stay distributed; each round is written to the shared folder."""
     both = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = materialize(both, "edges")
-    labels = materialize(both.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), "labels")
+    first = both = materialize(both, "edges")
+    rounds = []
     for _ in range(most_rounds):
         if both.isEmpty():
             break
         # b points down to its smallest neighbour; a node with only larger neighbours stays
         down = materialize(both.groupBy("b").agg(F.min("a").alias("to")).withColumnRenamed("b", "at"), "down")
-        left = down.select(F.col("at").alias("a"), F.col("to").alias("to_a"))
-        right = down.select(F.col("at").alias("b"), F.col("to").alias("to_b"))
-        moved = both.join(right, "b", "left").join(left, "a", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
-        kept = down.join(down.select(F.col("to").alias("at")).distinct(), "at", "left_semi").select(F.col("to").alias("a"), F.col("at").alias("b"))
-        labels = materialize(labels.join(down.select(F.col("at").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+        rounds.append(down)
+        moved = join_counted(both, down.select(F.col("at").alias("b"), F.col("to").alias("to_b")), ["b"], "left")
+        moved = join_counted(moved, down.select(F.col("at").alias("a"), F.col("to").alias("to_a")), ["a"], "left")
+        moved = moved.select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
+        # a node that others point to keeps its own pointer as an edge
+        kept = join_counted(down, down.select(F.col("to").alias("at")), ["at"], "left_semi").select(F.col("to").alias("a"), F.col("at").alias("b"))
         both = moved.unionByName(kept).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         both = materialize(both, "edges")
-    return labels
+    labels = first.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
+    for down in rounds:
+        labels = join_counted(labels, down.select(F.col("at").alias("root"), "to"), ["root"], "left").select("node", F.coalesce("to", "root").alias("root"))
+    return materialize(labels, "labels")

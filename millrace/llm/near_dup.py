@@ -2,10 +2,11 @@
 
 Texts with equal shingle sets form a class, and classes are joined. Each has a forest of TREES sorted prefix tries over
 its signature. Prefixes are shortened level by level. At the long level classes that share a whole long prefix fall
-into groups; they are only grouped, not linked. At the next length, the longest at which TREES tries find a pair at the
-threshold with the target recall, groups that share a prefix become candidates of each other. All pairs within a group
-and between candidate groups are then verified exactly, in blocks: a block pair is one task's work whatever the size of
-the group, and only link counts and a spanning forest come out of it, never the pairs.
+into groups; they are only grouped, not linked. The next length is the longest at which TREES tries find a pair at the
+threshold with the target recall. A class that shares several such prefixes with the largest group of their buckets
+joins it; groups that share any prefix become candidates of each other. All pairs within a group and between candidate
+groups are then verified exactly, in blocks: a block pair is one task's work whatever the size of the group, and only
+link counts and a spanning forest come out of it, never the pairs.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +25,12 @@ from millrace.llm.substring_dedup import _mixed, _powers, _sent
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9997
 TREES = 28
+#: A class joins the largest group in its buckets if they share this many prefixes.
+SHARED = 3
 #: Classes of one side of a verified block pair.
 BLOCK = 256
+#: The side of a block that is verified against itself.
+SELF = -1
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -154,8 +159,8 @@ def _verified(units: DataFrame, threshold: float) -> DataFrame:
         sizes = np.array([len(s) for s in sets])
         both = _overlaps(sets)
         linked = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9
-        # of two sides only pairs across count; a unit with one side is a block with itself
-        linked &= side[:, None] != side[None, :] if len(set(side)) > 1 else ~np.eye(len(rows), dtype=bool)
+        # of two sides only pairs across count
+        linked &= ~np.eye(len(rows), dtype=bool) if side[0] == SELF else side[:, None] != side[None, :]
         more = linked @ docs
         for i in np.flatnonzero(more):
             yield names[i], None, int(more[i])
@@ -188,6 +193,12 @@ def _verified(units: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
+def _grouped(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """class and group: the root of its component, or itself."""
+    found = join_counted(classes, groups.withColumnRenamed("node", "class").withColumnRenamed("root", "group"), ["class"], "left")
+    return materialize(found.select("class", F.coalesce("group", "class").alias("group")), "members")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES) -> DataFrame:
     """One row per row of docs: key, class_id (the smallest key among all documents it is linked to, directly or over
     others), n_links (documents whose shingle set has a Jaccard similarity of threshold or more, copies included) and
@@ -212,29 +223,55 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     long = long.where("n = 2").select("class", F.xxhash64("x", "y").alias("prefix"))
     stars = long.groupBy("prefix").agg(F.min("class").alias("a"), F.count("*").alias("n")).where("n > 1").select("prefix", "a")
     groups = components(long.join(stars, "prefix").select("a", F.col("class").alias("b")))
-    member = keys.select("class").distinct().join(groups.withColumnRenamed("node", "class").withColumnRenamed("root", "group"), "class", "left")
-    member = member.join(classes.select("class", "id", "docs"), "class").select("class", "id", "docs", F.coalesce("group", "class").alias("group"))
-    member = materialize(member, "groups")
-
-    # short level: groups that share a prefix
-    spots = materialize(keys.join(member.select("class", "group"), "class").select("prefix", "group").distinct(), "spots")
+    member = _grouped(keys.select("class").distinct(), groups)
+
+    # short level: a class that shares several prefixes with the largest group of their buckets joins it
+    spots = materialize(join_counted(keys.select("class", "prefix"), member, ["class"]), "spots")
+    size = join_counted(spots, member.groupBy("group").agg(F.count("*").alias("n")), ["group"])
+    largest = size.groupBy("prefix").agg(F.max(F.struct("n", "group"))["group"].alias("to"))
+    near = spots.join(largest, "prefix").where("group <> to").groupBy("class", "group", "to").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED)
+    merged = components(near.select(F.col("group").alias("a"), F.col("to").alias("b")))
+    member = join_counted(member, merged.withColumnRenamed("node", "group"), ["group"], "left").select("class", F.coalesce("root", "group").alias("group"))
+    member = materialize(join_counted(classes.select("class", "id", "docs"), member, ["class"]), "groups")
+
+    # groups that share a prefix; of two the larger one owns the pair
+    spots = materialize(join_counted(keys.select("class", "prefix"), member.select("class", "group"), ["class"]).select("prefix", "group").distinct(), "spots")
     pairs = spots.join(spots.withColumnRenamed("group", "other"), "prefix").where("group < other").select("group", "other").distinct()
-    sizes = member.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("n"))
-    alone = sizes.where("n > 1").select("group", F.col("group").alias("other"))
-    pairs = materialize(pairs.unionByName(alone), "pairs")
-
-    # units of work: a block of one group against a block of the same or of another
-    left = pairs.join(sizes.select("group", "blocks"), "group")
-    both = left.join(sizes.select(F.col("group").alias("other"), F.col("blocks").alias("others")), "other")
-    both = both.select("group", "other", "blocks", "others", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"))
-    both = both.select("*", F.explode(F.sequence(F.when(F.col("group") == F.col("other"), F.col("i")).otherwise(F.lit(0).cast("long")), F.col("others") - 1)).alias("j"))
-    both = both.select(F.xxhash64("group", "other", "i", "j").alias("unit"), F.explode(F.array_distinct(F.array(F.struct("group", F.col("i").alias("block")), F.struct(F.col("other").alias("group"), F.col("j").alias("block"))))).alias("part"))
-    parts = both.select("unit", "part.*").select("unit", "group", "block", F.xxhash64("group", "block").alias("side"))
-    placed = member.join(sizes.select("group", "blocks"), "group").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
-    used = materialize(placed.join(pairs.select(F.explode(F.array("group", "other")).alias("group")).distinct(), "group", "left_semi"), "used")
-    sets = materialize(_sets(docs, used.select("id", "class"), key, text, words), "sets")
-    units = parts.join(used.select("group", "block", "class", "docs"), ["group", "block"]).select("unit", "side", "class", "docs").join(sets, "class")
-    found = materialize(_verified(units, threshold), "verified")
+    sizes = materialize(member.groupBy("group").agg(F.count("*").alias("n")), "sizes")
+    pairs = join_counted(pairs, sizes, ["group"])
+    pairs = join_counted(pairs, sizes.select(F.col("group").alias("other"), F.col("n").alias("m")), ["other"])
+    first = F.col("n") >= F.col("m")
+    pairs = materialize(pairs.select(F.when(first, F.col("group")).otherwise(F.col("other")).alias("owner"), F.when(first, F.col("other")).otherwise(F.col("group")).alias("group")), "pairs")
+
+    # units of work: a block of a group against another of its own, or against a block of all its partners' classes
+    inner = join_counted(member, sizes.where("n > 1"), ["group"]).select(F.col("group").alias("owner"), "class", "docs", "n")
+    outer = join_counted(pairs, member.select("group", "class", "docs"), ["group"]).select("owner", "class", "docs")
+    guests = materialize(outer.groupBy("owner").agg(F.count("*").alias("guests")), "guests")
+    outer = join_counted(outer, guests, ["owner"])
+    outer = join_counted(outer, sizes.select(F.col("group").alias("owner"), "n"), ["owner"])
+    hosts = join_counted(member.select(F.col("group").alias("owner"), "class", "docs"), guests, ["owner"])
+    hosts = join_counted(hosts, sizes.select(F.col("group").alias("owner"), "n"), ["owner"])
+
+    def blocks(count: Column) -> Column:
+        return F.ceil(count / BLOCK).cast("long")
+
+    def block(count: Column) -> Column:
+        return F.pmod(F.xxhash64("class"), blocks(count))
+
+    def upto(count: Column) -> Column:
+        return F.sequence(F.lit(0).cast("long"), blocks(count) - 1)
+
+    n, m, b = F.col("n"), F.col("guests"), F.col("b")
+    within = inner.withColumn("b", block(n)).select("owner", "class", "docs", "b", F.explode(upto(n)).alias("o"))
+    within = within.select(F.xxhash64("owner", F.lit("in"), F.least("b", "o"), F.greatest("b", "o")).alias("unit"), F.when(b == F.col("o"), F.lit(SELF)).otherwise(b).alias("side"), "class", "docs")
+    host = hosts.withColumn("b", block(n)).select("owner", "class", "docs", "b", F.explode(upto(m)).alias("o"))
+    host = host.select(F.xxhash64("owner", F.lit("out"), "b", "o").alias("unit"), F.lit(0).cast("long").alias("side"), "class", "docs")
+    guest = outer.withColumn("b", block(m)).select("owner", "class", "docs", "b", F.explode(upto(n)).alias("o"))
+    guest = guest.select(F.xxhash64("owner", F.lit("out"), "o", "b").alias("unit"), F.lit(1).cast("long").alias("side"), "class", "docs")
+    parts = materialize(within.unionByName(host).unionByName(guest), "units")
+    used = join_counted(member.select("id", "class"), parts.select("class").distinct(), ["class"], "left_semi")
+    sets = materialize(_sets(docs, materialize(used, "used"), key, text, words), "sets")
+    found = materialize(_verified(parts.join(sets, "class"), threshold), "verified")
 
     roots = components(found.where(F.col("b").isNotNull()).select("a", "b")).withColumnRenamed("node", "class")
     links = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
