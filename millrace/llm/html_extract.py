@@ -55,29 +55,41 @@ DROPPED_WORDS = frozenset(
     "disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo related "
     "respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: What makes an article or main element one that is not the page's.
+ARTICLE_WORDS = frozenset("ad ads advert advertisement comment comments promo related sponsored".split())
+_ABOUT = frozenset("has no with without".split())
 DROPPED_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
 _TAG = r"""<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s=>/][^\s=>/]*+(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+)?+)?+|=)*+)>"""
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|" + _TAG + r"|<[!?/](?![a-zA-Z])[^>]*>?|</?[a-zA-Z][^>]*>?", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?", re.S)
 _RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=>/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _ROLE_MAIN = re.compile(r"""role\s*=\s*["']?main\b""", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
+def _named(value: str, words: frozenset[str]) -> bool:
+    """Whether a class or id has one of words; names like has-sidebar tell of something else."""
+    for name in value.split():
+        parts = _WORDS.findall(name)
+        if parts and parts[0] not in _ABOUT and not words.isdisjoint(parts):
+            return True
+    return False
+
+
 def _boilerplate(name: str, attrs: str, in_main: bool) -> bool:
     if name in DROPPED or name == "header" and not in_main:
         return True
     if not attrs or name in ("html", "body"):
         return False
-    for m in _NAMED.finditer(attrs):
+    words = ARTICLE_WORDS if name in ("article", "main") else DROPPED_WORDS
+    for m in _ATTRIBUTE.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id") and not DROPPED_WORDS.isdisjoint(_WORDS.findall(value)):
-            return True
-        if key == "role" and value.strip() in DROPPED_ROLES or key == "aria-hidden" and value == "true" or key == "hidden" and m[1] == attrs[m.start() : m.end()].split("=")[0].strip():
+        if key in ("class", "id") and _named(value, words) or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if key == "role" and value.strip() in DROPPED_ROLES or key == "style" and _UNSEEN.search(value):
             return True
     return False
 

@@ -285,8 +285,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the documents that are linked to one of a smaller doc_id, columns unchanged. Of rows that repeat
-    a doc_id with linked texts one stays; rows without a doc_id all stay."""
+    """docs without the documents that are linked, directly or over others, to one of a smaller doc_id; columns
+    unchanged. A doc_id names a document: rows that repeat one stay or go together. Rows without a doc_id stay."""
     found = near_duplicates(docs).select("doc_id", "class_id", "n_links")
     gone = materialize(found.where("n_links > 0 and doc_id <> class_id").select("doc_id").distinct(), "gone")
     return join_counted(docs, gone, ["doc_id"], "left_anti")

@@ -24,6 +24,8 @@ PAGES = {
     '<article>x<script>var a="</article>"</script>y</article>': "xy",
     "<p hidden>x</p><p>y": "y",
     "a<b": "a",
+    '<article class="post has-comments with-sidebar" data-id="ads" title="id=menu">kept<article class="comment">no</article></article>': "kept",
+    '<div class="content no-ads">kept<div id="Site-Footer">no</div><div style="display: none">no</div></div>': "kept",
     "": "",
     None: "",
     "plain &lt;text&gt;  of\n\ttwo": "plain <text> of two",
