@@ -32,7 +32,7 @@ from millrace.llm.common import materialize
 #: A chunk ends after this many bytes of text; a longer text is a chunk of its own.
 CHUNK_BYTES = 2_000_000
 #: Hashes that a counting task should get.
-RANGE_HASHES = 1_000_000
+RANGE_HASHES = 250_000
 #: Answers are broadcast up to this many bytes, joined by a shuffle beyond.
 BROADCAST_BYTES = 32_000_000
 FIRST_LENGTH = 8
