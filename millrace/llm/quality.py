@@ -87,16 +87,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, key: str, lab
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(key)) & F.col(key).isNotNull())
     known = known.groupBy(F.col(key).alias("_mr_key")).agg(F.max(label).cast("int").alias("_mr_label"))
     sizes = {r["_mr_label"]: r["count"] for r in known.groupBy("_mr_label").count().collect()}
-    nth = F.row_number().over(Window.partitionBy("_mr_label").orderBy(F.xxhash64("_mr_key"), "_mr_key"))
-    chosen = known.withColumn("_mr_nth", nth).where(F.col("_mr_nth") <= sample // 2)  # at most sample rows: may be broadcast
+    # of each class only the hashes that can be among its smallest are ranked: about twice as many as are wanted
+    known = known.withColumn("_mr_hash", F.pmod(F.xxhash64("_mr_key"), F.lit(1 << 31)))
+    most = F.lit(1 << 31)
+    for k, n in sizes.items():
+        most = F.when(F.col("_mr_label") == k, F.lit(min(1 << 31, (1 << 31) * (sample + 64) // n))).otherwise(most)
+    nth = F.row_number().over(Window.partitionBy("_mr_label").orderBy("_mr_hash", "_mr_key"))
+    chosen = known.where(F.col("_mr_hash") <= most).withColumn("_mr_nth", nth).where(F.col("_mr_nth") <= sample // 2)
+    chosen = chosen.drop("_mr_hash")  # at most sample rows: may be broadcast
     texts = docs.select(F.col(key).alias("_mr_key"), "text").join(F.broadcast(chosen), "_mr_key")
     # rows that repeat a key count once
     one = texts.groupBy("_mr_key", "_mr_label").agg(F.min("text").alias("text"))
 
-    @F.pandas_udf("struct<buckets:array<int>,counts:array<int>>")
+    # as bytes: a list of numbers would take many times the memory on the driver
+    @F.pandas_udf("struct<buckets:binary,counts:binary>")
     def counted(column: pd.Series) -> pd.DataFrame:
         pairs = [np.unique(features(t or ""), return_counts=True) for t in column]
-        return pd.DataFrame({"buckets": [b.astype(np.int32) for b, _ in pairs], "counts": [c.astype(np.int32) for _, c in pairs]})
+        return pd.DataFrame({"buckets": [b.astype(np.uint16).tobytes() for b, _ in pairs], "counts": [c.astype(np.int32).tobytes() for _, c in pairs]})
 
     rows = one.select("_mr_key", F.col("_mr_label").alias("label"), counted("text").alias("f")).select("_mr_key", "label", "f.*")
     found = rows.toPandas().sort_values("_mr_key", kind="stable", ignore_index=True)
@@ -114,14 +121,15 @@ def sgd(rows: pd.DataFrame, prior: float) -> Model:
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     output, bias = np.zeros((2, DIM)), np.zeros(2)
-    docs = [(np.asarray(b, np.int64), np.asarray(c) / max(1, np.sum(c))) for b, c in zip(rows["buckets"], rows["counts"])]
+    docs = [(np.frombuffer(b, np.uint16), np.frombuffer(c, np.int32)) for b, c in zip(rows["buckets"], rows["counts"])]
     balance = {k: len(labels) / (2 * np.sum(labels == k)) for k in (0, 1)}
     step, steps = 0, EPOCHS * len(docs)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(docs)):
             rate = RATE * (1 - step / steps)
             step += 1
-            buckets, share = docs[i]
+            buckets, counts = docs[i]
+            share = counts / max(1, counts.sum())
             mean = share @ vectors[buckets]
             odds = output @ mean + bias
             p = np.exp(odds - odds.max())
