@@ -2,7 +2,8 @@
 
 Impacts are divided by the item's own score, so that a passage holding all of an item scores 1 and one threshold fits
 all items. Documents are cut into overlapping passages of twice the longest item, hence any copy of an item lies whole
-in some passage. Items above the threshold are verified by the overlap of word n-grams, for question and answer apart.
+in some passage. Items above the threshold are verified: with question and answer columns by the overlap of each one's
+word n-grams, else by the share of the item's words that stand in word pairs of the passage, wherever in the item.
 Items are indexed in shards of bounded size; a shard's index is broadcast, and every document meets every shard.
 """
 
@@ -28,6 +29,8 @@ BLOCK = 64
 #: A passage is retrieved at this share of an item's own BM25 score, verified at these shares of its n-grams.
 LEAST_SCORE, LEAST_QUESTION, LEAST_ANSWER = 0.5, 0.6, 0.6
 GRAM = 5
+#: An item without such columns is verified at this share of its words, in runs of this many.
+LEAST_WORDS, RUN = 0.75, 2
 #: Frequent terms are left out of the first test while no item has more than this share of its score from them.
 SLACK = 0.2
 
@@ -45,10 +48,19 @@ def grams(words: Sequence[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
-def split_item(words: Sequence[bytes]) -> tuple[Sequence[bytes], Sequence[bytes]]:
-    """Question and answer of an item without columns for them: its last quarter counts as the answer."""
-    at = len(words) - max(1, len(words) // 4)
-    return (words[:at] or words), words[at:]
+def covered(words: Sequence[bytes], passage: Sequence[bytes]) -> float:
+    """The share of words that stand in runs of RUN which a stretch of the passage has too. Stretches are three times
+    as long as words and begin at every length of words: a copy lies whole in one, even with as many words put in."""
+    size, n, best = len(words), min(RUN, len(words)), 0
+    runs = [tuple(words[i : i + n]) for i in range(size - n + 1)]
+    for at in range(0, max(1, len(passage) - 2 * size), size):
+        held = {tuple(passage[i : i + n]) for i in range(at, min(at + 3 * size, len(passage)) - n + 1)}
+        marks = bytearray(size)
+        for i, run in enumerate(runs):
+            if run in held:
+                marks[i : i + n] = b"\1" * n
+        best = max(best, sum(marks))
+    return best / size
 
 
 class ItemIndex:
@@ -60,9 +72,8 @@ class ItemIndex:
             words = tokens(text or "")
             if not words:
                 continue
-            q, a = (tokens(question), tokens(answer)) if question and answer else split_item(words)
             self.ids.append(key)
-            self.parts.append((grams(q), grams(a)))
+            self.parts.append((grams(tokens(question)), grams(tokens(answer))) if question and answer else words)
             terms_of.append(Counter(words))
         self.least = least
         n = len(self.ids)
@@ -178,13 +189,18 @@ class ItemIndex:
                 continue
             by_size: dict[int, set] = defaultdict(set)
             for item, score in hits:
-                shares = []
-                for part in self.parts[item]:
-                    n = len(next(iter(part), ()))
-                    if n and n not in by_size:
-                        by_size[n] = {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)}
-                    shares.append(len(part & by_size[n]) / len(part) if part else 1.0)
-                if shares[0] >= LEAST_QUESTION and shares[1] >= LEAST_ANSWER:
+                parts, shares = self.parts[item], []
+                if isinstance(parts, list):
+                    shares = [covered(parts, passage)] * 2
+                    held = shares[0] >= LEAST_WORDS
+                else:
+                    for part in parts:
+                        n = len(next(iter(part), ()))
+                        if n and n not in by_size:
+                            by_size[n] = {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)}
+                        shares.append(len(part & by_size[n]) / len(part) if part else 1.0)
+                    held = shares[0] >= LEAST_QUESTION and shares[1] >= LEAST_ANSWER
+                if held:
                     best[item] = max(best.get(item, (item, -1.0, 0.0, 0.0, 0)), (item, min(1.0, score), *shares, start))
         return [best[i] for i in sorted(best)]
 
@@ -203,7 +219,8 @@ def _finder(index: Broadcast, schema: str):
 
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", least: float = LEAST_SCORE) -> Column:
     """A column over docs: the items found in the whole text, as item_id, score, question and answer (shares of
-    n-grams), first_word (of the passage). items: item_id, text and, if there are any, question and answer.
+    n-grams; of an item without both columns twice the share of its words), first_word (of the passage). items:
+    item_id, text and, if there are any, question and answer.
 
     Items without a word match nothing; repeated items are each reported. Null and empty texts have an empty list.
     Inverse document frequencies are those of an item's shard."""

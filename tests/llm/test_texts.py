@@ -122,6 +122,14 @@ def test_shards_and_answer_columns(spark, monkeypatch):
     assert (1, 8) in map(tuple, found) and all(r.doc_id == 1 for r in found)
 
 
+def test_changed_and_cut_items_without_columns_are_found(spark):
+    words = ITEMS[1][1].split()
+    changed = [" ".join("changed" if i == k else w for i, w in enumerate(words)) for k in range(len(words))]
+    texts = [*changed, " ".join(words[: len(words) - 2]), " ".join(w + " and" for w in words), "salt marshes near Kelwater town", " ".join(words[::-1])]
+    found = docs_of(spark, texts).select("doc_id", decontaminate.leaks(docs_of(spark, texts), spark.createDataFrame(ITEMS[1:2], "item_id bigint, text string")).alias("l"))
+    assert [r.doc_id for r in found.orderBy("doc_id").collect() if r.l] == list(range(len(words) + 1))
+
+
 def test_wand_returns_what_full_scoring_does():
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]
