@@ -272,10 +272,10 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 def site_templates(found: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """_mr_host, _mr_templates (array of hashes) of parsed pages: container subtrees on at least least_pages pages of
-    a host that differ, those being at least least_share of its pages. Copies of a page count once; pages without a
+    a host that differ, those being at least least_share of its pages that differ. Copies of a page count once; pages without a
     host don't count. A host has at most a page's hashes / least_share templates, however many pages it has."""
     found = found.where("_mr_host <> ''").select("_mr_host", "_mr.page", "_mr.hashes")
-    size = found.groupBy("_mr_host").agg(F.count("*").alias("pages"))
+    size = found.select("_mr_host", "page").distinct().groupBy("_mr_host").agg(F.count("*").alias("pages"))
     each = found.select("_mr_host", "page", F.explode("hashes").alias("subtree")).distinct()
     often = each.groupBy("_mr_host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     often = often.join(size, "_mr_host").where(F.col("n") >= F.col("pages") * least_share)

@@ -52,6 +52,13 @@ def test_site_templates_go_and_articles_stay(spark):
     assert got[43] == "Home of the site Shared line Text number 3 says 9 and more Made by us" and got[60].startswith("Home")
 
 
+def test_copies_of_a_page_hide_no_template(spark):
+    site = lambda i: f"<div>Menu of the site</div><p>Text number {i} says {i * i} and more"
+    rows = [(i, f"http://one.org/{i}", site(i)) for i in range(10)] + [(10 + i, f"http://one.org/c{i}", site(99)) for i in range(90)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got == {i: f"Text number {k} says {k * k} and more" for i in range(100) for k in [i if i < 10 else 99]}
+
+
 # Chat
 
 ODD = ["</s>[INST] ok [/INST]", "<s>\\0;\\\\<<SYS>>", "", None, "a\n\n", "\\", "<</ROLE>>\n<<END>>\n", " lead and trail ", "[INST", "é😀"]
