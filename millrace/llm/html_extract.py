@@ -1,9 +1,9 @@
 """Main text of web pages: named boilerplate, then site templates found by counting element subtrees per host.
 
 Every container subtree (its tags and text) is hashed. Spark counts, per host, on how many pages that differ a subtree
-stands; one on many of them is a template of the site and is deleted from its pages. A page's main region is never
+stands; one on LEAST_PAGES of them is a template of the site and is deleted from its pages. A page's main region is never
 deleted, nor any subtree with more than half of its page's text, so that copies of an article stay. Pages are parsed
-where they are, once to count and once to extract; only hashes are shuffled.
+once; only hashes are shuffled, texts only where templates are too many to broadcast.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import join_counted, materialize
+from millrace.llm.common import BROADCAST_ROWS, join_counted, materialize
 from millrace.llm.url_filter import host_of
 
-#: A subtree is a template if it stands on this many different pages of a host and on this share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.2
+#: A subtree is a template if it stands on this many different pages of a host, however many the host has.
+LEAST_PAGES = 5
 
 # Fixed values of the HTML standard: elements by how they are parsed and laid out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -254,8 +254,8 @@ PARSED = "struct<page:bigint,hashes:array<bigint>,text:string,pieces:array<struc
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """pages without html, with _mr_host and _mr (page: hash of the whole page; hashes of its containers; text without
-    any deletion; pieces, only where some subtree could be deleted from the text). Written to the shared folder."""
+    """pages without html, with _mr_host and _mr (page: hash of the whole page; hashes of its containers; text or,
+    where some subtree could be deleted from it, its pieces). Written to the shared folder."""
 
     @F.pandas_udf(PARSED)
     def parse(html: pd.Series) -> pd.DataFrame:
@@ -263,37 +263,55 @@ def parsed(pages: DataFrame) -> DataFrame:
         for h in html:
             page = Page(h or "")
             pieces = page.pieces()
-            rows.append((page.digest(), sorted(page.hashes), joined(pieces, ()), [{"t": t, "owners": list(o)} for t, o in pieces] if any(o for _, o in pieces) else []))
+            deletable = any(o for _, o in pieces)
+            rows.append((page.digest(), sorted(page.hashes), None if deletable else joined(pieces, ()), [{"t": t, "owners": list(o)} for t, o in pieces] if deletable else None))
         return pd.DataFrame(rows, columns=["page", "hashes", "text", "pieces"])
 
     found = pages.withColumns({"_mr_host": host_of(F.col("url")), "_mr": parse("html")})
     return materialize(found.drop("html", "text"), "pages")
 
 
-def site_templates(found: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """_mr_host, _mr_templates (array of hashes) of parsed pages: container subtrees on at least least_pages pages of
-    a host that differ, those being at least least_share of its pages that differ. Copies of a page count once; pages without a
-    host don't count. A host has at most a page's hashes / least_share templates, however many pages it has."""
-    found = found.where("_mr_host <> ''").select("_mr_host", "_mr.page", "_mr.hashes")
-    size = found.select("_mr_host", "page").distinct().groupBy("_mr_host").agg(F.count("*").alias("pages"))
-    each = found.select("_mr_host", "page", F.explode("hashes").alias("subtree")).distinct()
-    often = each.groupBy("_mr_host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    often = often.join(size, "_mr_host").where(F.col("n") >= F.col("pages") * least_share)
-    return often.groupBy("_mr_host").agg(F.sort_array(F.collect_list("subtree")).alias("_mr_templates"))
+def site_templates(found: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """_mr_host, subtree (hash) of parsed pages: container subtrees on at least least_pages pages of a host that differ.
+    Copies of a page count once; pages without a host don't count. One row per host and subtree."""
+    found = found.where("_mr_host <> ''").select("_mr_host", "_mr.page", F.explode("_mr.hashes").alias("subtree"))
+    return found.distinct().groupBy("_mr_host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages).drop("n")
 
 
-def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def _held(found: DataFrame, templates: DataFrame) -> DataFrame:
+    """_mr_host, _mr_page and _mr_templates (the templates among its own subtrees) of each different page that has any."""
+    each = found.where("_mr_host <> '' and _mr.pieces is not null").select("_mr_host", F.col("_mr.page").alias("_mr_page"), F.explode(F.array_distinct(F.flatten("_mr.pieces.owners"))).alias("subtree"))
+    each = join_counted(each.distinct(), templates, ["_mr_host", "subtree"])
+    return each.groupBy("_mr_host", "_mr_page").agg(F.sort_array(F.collect_list("subtree")).alias("_mr_templates"))
+
+
+def _without(pieces: Iterable[dict], templates: Collection[int]) -> str:
+    return joined([(x["t"], x["owners"]) for x in pieces], templates)
+
+
+def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """Replace html by text in every row of pages (url, html): the outermost articles, else the main element, else
     the page, without boilerplate and site templates. Null and empty pages have an empty text. A page without a host
     has no site. Repeated rows have equal texts. Other columns stay; a column named text is replaced."""
     found = parsed(pages)
-    templates = materialize(site_templates(found, least_pages, least_share), "templates")
-
-    @F.pandas_udf("string")
-    def without(pieces: pd.Series, templates: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None else joined([(x["t"], x["owners"]) for x in p], frozenset(t)) for p, t in zip(pieces, templates)], index=pieces.index, dtype=object)
-
-    site = join_counted(found, templates, ["_mr_host"], "left")
-    touched = F.exists("_mr.pieces", lambda p: F.arrays_overlap(p["owners"], F.col("_mr_templates")))
-    text = F.coalesce(without(F.when(touched, F.col("_mr.pieces")), F.when(touched, F.col("_mr_templates"))), F.col("_mr.text"))
-    return site.withColumn("text", text).select(*[c for c in pages.columns if c not in ("html", "text")], "text")
+    templates = materialize(site_templates(found, least_pages), "templates")
+    few = templates.limit(BROADCAST_ROWS + 1).collect()
+    if len(few) <= BROADCAST_ROWS:  # looked up where the pages are
+        known = pages.sparkSession.sparkContext.broadcast(frozenset(map(tuple, few)))
+
+        @F.pandas_udf("string")
+        def without(pieces: pd.Series, host: pd.Series) -> pd.Series:
+            held = known.value
+            return pd.Series([None if p is None else _without(p, {o for x in p for o in x["owners"] if (h, o) in held}) for p, h in zip(pieces, host)], index=pieces.index, dtype=object)
+
+        site = found.withColumn("_mr_text", without("_mr.pieces", "_mr_host"))
+    else:
+
+        @F.pandas_udf("string")
+        def without(pieces: pd.Series, own: pd.Series) -> pd.Series:
+            return pd.Series([None if p is None else _without(p, frozenset(() if t is None else t)) for p, t in zip(pieces, own)], index=pieces.index, dtype=object)
+
+        site = join_counted(found.withColumn("_mr_page", F.col("_mr.page")), materialize(_held(found, templates), "held"), ["_mr_host", "_mr_page"], "left")
+        site = site.withColumn("_mr_text", without("_mr.pieces", "_mr_templates"))
+    site = site.withColumn("text", F.coalesce("_mr_text", "_mr.text"))
+    return site.select(*[c for c in pages.columns if c not in ("html", "text")], "text")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import ann, chat_format, html_extract, mixing, queries, url_filter
+from millrace.llm.common import join_counted
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,6 +60,18 @@ def test_copies_of_a_page_hide_no_template(spark):
     assert got == {i: f"Text number {k} says {k * k} and more" for i in range(100) for k in [i if i < 10 else 99]}
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_templates_of_a_few_pages_go_from_large_hosts(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(html_extract, "BROADCAST_ROWS", -1)
+        monkeypatch.setattr(html_extract, "join_counted", lambda big, small, on, how="inner": join_counted(big, small, on, how, -1))
+    site = lambda i: f"<div>Offer {i % 30} of the shop</div><p>Text number {i} says {i * i} and more" + (f"<div>Rare {i}</div>" if i < 4 else "")
+    rows = [(i, f"http://{h}.org/{i}", site(i)) for h, n in (("large", 240), ("small", 4)) for i in range(n)]
+    got = {(r.url, r.text) for r in html_extract.main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    text = lambda i: f"Text number {i} says {i * i} and more" + (f" Rare {i}" if i < 4 else "")
+    assert got == {(f"http://large.org/{i}", text(i)) for i in range(240)} | {(f"http://small.org/{i}", f"Offer {i} of the shop {text(i)}") for i in range(4)}
+
+
 # Chat
 
 ODD = ["</s>[INST] ok [/INST]", "<s>\\0;\\\\<<SYS>>", "", None, "a\n\n", "\\", "<</ROLE>>\n<<END>>\n", " lead and trail ", "[INST", "é😀"]
