@@ -54,26 +54,30 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), as (node, root) with root the smallest id; nodes without an edge are absent.
 
-    Each round points a node to its smallest neighbour and contracts the edges, so that rounds grow with the
-    logarithm of a component's size. Edges and labels stay distributed; each round is written to the shared folder."""
+    Each round points a node to its smallest neighbour, follows these pointers to their ends by doubling, and contracts
+    every tree of pointers to its end, until no edge is left. Two rounds at least halve the nodes that still have
+    edges: an end that stays has, alone, a node that the first of them took away. So rounds, and doublings in a round,
+    grow with the logarithm of a component's size whatever the order of ids. Edges and labels stay distributed; each
+    step is written to the shared folder."""
     both = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = both = materialize(both, "edges")
     rounds = []
-    for _ in range(most_rounds):
-        if both.isEmpty():
-            break
-        # b points down to its smallest neighbour; a node with only larger neighbours stays
+    while not both.isEmpty():
+        # b points down to its smallest neighbour; a node with only larger neighbours is an end
         down = materialize(both.groupBy("b").agg(F.min("a").alias("to")).withColumnRenamed("b", "at"), "down")
+        while True:
+            further = down.select(F.col("at").alias("to"), F.col("to").alias("next"))
+            if join_counted(down, further, ["to"], "left_semi").isEmpty():
+                break
+            down = materialize(join_counted(down, further, ["to"], "left").select("at", F.coalesce("next", "to").alias("to")), "down")
         rounds.append(down)
         moved = join_counted(both, down.select(F.col("at").alias("b"), F.col("to").alias("to_b")), ["b"], "left")
         moved = join_counted(moved, down.select(F.col("at").alias("a"), F.col("to").alias("to_a")), ["a"], "left")
         moved = moved.select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
-        # a node that others point to keeps its own pointer as an edge
-        kept = join_counted(down, down.select(F.col("to").alias("at")), ["at"], "left_semi").select(F.col("to").alias("a"), F.col("at").alias("b"))
-        both = moved.unionByName(kept).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        both = moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         both = materialize(both, "edges")
     labels = first.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
     for down in rounds:

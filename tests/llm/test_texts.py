@@ -231,3 +231,9 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (5, 5), (20, 30), (30, 10), (10, 20), *[(100 + i, 101 + i) for i in range(25)], *[(200, 201 + i) for i in range(30)]]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**dict.fromkeys((1, 2, 3), 1), **dict.fromkeys((6, 7, 8, 9), 6), **dict.fromkeys((10, 20, 30), 10), **dict.fromkeys(range(100, 126), 100), **dict.fromkeys(range(200, 231), 200)}
+
+
+def test_components_of_a_long_ordered_chain(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(1000 + i, 2000 + i) for i in range(40)] + [(1001 + i, 2000 + i) for i in range(40)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {**dict.fromkeys(range(201), 0), **dict.fromkeys([*range(1000, 1041), *range(2000, 2040)], 1000)}
