@@ -1,10 +1,10 @@
-"""N-gram Jaccard join: a MinHash LSH forest proposes, exact set overlap decides.
+"""N-gram Jaccard join: MinHash banding proposes, exact set overlap decides.
 
-Texts with equal shingle sets form a class, and classes are joined. Each has a forest of TREES sorted prefix tries over
-its signature. Prefixes are shortened level by level. At the long level classes that share a whole long prefix fall
-into groups; they are only grouped, not linked. The next length is the longest at which TREES tries find a pair at the
-threshold with the target recall. A class that shares several such prefixes with the largest group of their buckets
-joins it; groups that share any prefix become candidates of each other. All pairs within a group and between candidate
+Texts with equal shingle sets form a class, and classes are joined. Each has TREES bands, hashes of equally many values
+of its signature: the most at which TREES bands find a pair at the threshold with the target recall, fixed beforehand.
+This replaces an LSH forest, whose prefixes are shortened by what matched. First, classes that share two neighbouring
+bands fall into groups; they are only grouped, not linked. A class that shares several bands with the largest group of
+their buckets joins it; groups that share any band become candidates of each other. All pairs within a group and between candidate
 groups are then verified exactly, in blocks: a block pair is one task's work whatever the size of the group, and only
 link counts and a spanning forest come out of it, never the pairs.
 """
