@@ -179,6 +179,41 @@ def test_mix(spark):
     assert mixing.mix(frame.limit(0), (3, 1, 2), 1.5).count() == 0
 
 
+def plain_multiplier(sizes, target, most):
+    """The dual's optimum of one source by bisection in numpy: tokens grow with the multiplier."""
+    low, high = -100.0, 100.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if (sizes * np.minimum(most, np.exp(middle * sizes))).sum() < target else (low, middle)
+    return (low + high) / 2
+
+
+def test_newton_solves_the_dual(spark):
+    rng = np.random.default_rng(19)
+    sizes = {f"s{k}": rng.lognormal(4, 1.2, int(rng.integers(1, 200))).astype(int) + 1 for k in range(12)}
+    rows = [(k, n, "w " * int(size)) for k, each in sizes.items() for n, size in enumerate(each)]
+    frame = spark.createDataFrame([(f"{k}-{n}", k, text) for k, n, text in rows], "doc_id string, source string, text string")
+    got = mixing.mix(frame, (3, 1, 2, 0.2), 1.2).collect()
+    assert len(got) == len(rows) and len({r.rate for r in got}) > 20
+    for r in got:
+        of = sizes[r.source].astype(float)
+        want = 2.0 if r.target >= 2 * of.sum() * (1 - 1e-9) else min(2.0, math.exp(plain_multiplier(of, r.target, 2.0) * r.size))
+        assert r.rate == pytest.approx(want, rel=1e-6), (r.source, r.size)
+    for k, of in sizes.items():
+        mine = [r for r in got if r.source == k]
+        assert sum(r.rate * r.size for r in mine) == pytest.approx(mine[0].target, rel=1e-6)
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= of.max()
+        if len(mine) >= 50:
+            assert sum(r.taken for r in mine) == pytest.approx(mine[0].target, rel=0.02)
+
+
+def test_mix_of_a_repeated_null_key(spark):
+    rows = [(None, "a", "x y z")] * 3000 + [(i, "a", "q " * (1 + i % 40)) for i in range(500)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id int, source string, text string"), (1,), 1.5).collect()
+    assert len(got) == 3500 and max(r.copies for r in got) <= 2
+    assert sum(r.taken for r in got) == pytest.approx(got[0].target, rel=0.001)
+
+
 # URLs
 
 URLS = [None, "", "nothing", "http://a.org", "http://a.org/x", "HTTP://WWW.Example.ORG/es/1?q#f", "http://example.org/en/12", "http://notexample.org/en/12", "https://x.com/fr/a", "x.com/fr/", "http://x.com/de/#", "http://x.com?u=http://y.org/", "http://Bad.net:80/p/?a", "http://www.bad.net/p", "http://bad.net/q", "a://b://c/d", "http://İ.com/\n/x", "http://x.org#/es/"]
