@@ -141,6 +141,40 @@ def test_few_vectors(spark):
     assert ann.search(frame, F.lit(False)).count() == 0 and ann.search(frame.limit(0), F.lit(True)).count() == 0
 
 
+def test_repeated_ids_lose_no_candidate(spark):
+    frame = spark.createDataFrame([(20, [1.0, 2.0])] * 30 + [(41, [1.0, 2.0]), (42, [0.5, 0.5])] + [(43, [1.0, 2.0])] * 3, "vec_id bigint, embedding array<double>")
+    got = [(r.rank, r.vec_id) for r in ann.search(frame, F.col("vec_id") == 20, k=20).orderBy("rank").collect()]
+    assert got == [(1, 41), (2, 43), (3, 43), (4, 43), (5, 42)]
+
+
+def test_ties_go_to_smaller_ids_wherever_rows_stand(spark):
+    rng = np.random.default_rng(4)
+    one, other = rng.normal(size=33), rng.normal(size=33)
+    for turn in range(3):
+        ids = rng.permutation(400)
+        data = [(int(i), (one if i % 2 else other + i % 3 * 1e-3).tolist()) for i in ids]
+        got = defaultdict(list)
+        for r in ann.search(spark.createDataFrame(data, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 1, k=20).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        for q, found in got.items():
+            assert found == [i for i in range(1, 60, 2) if i != q][:20]
+
+
+def test_recall_on_many_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(20_000, 64)).astype(np.float32).astype(float)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id bigint, embedding array<double>")
+    found = defaultdict(set)
+    for r in ann.search(frame, F.col("vec_id") % 200 == 0, k=20).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 20_000, 200):
+        score = rows @ rows[q]
+        score[q] = -np.inf
+        hits += len(found[q] & set(np.argpartition(-score, 20)[:20].tolist()))
+    assert hits >= 0.95 * 20 * 100
+
+
 # Mixing
 
 def plain_targets(sizes, weights, share, most):
