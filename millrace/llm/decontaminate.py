@@ -4,7 +4,9 @@ Impacts are divided by the item's own score, so that a passage holding all of an
 all items. Documents are cut into overlapping passages of twice the longest item, hence any copy of an item lies whole
 in some passage. Items above the threshold are verified: with question and answer columns by the overlap of each one's
 word n-grams, else by the share of the item's words that stand in word pairs of the passage, wherever in the item.
-Items are indexed in shards of bounded size; a shard's index is broadcast, and every document meets every shard.
+Number, lengths and document frequencies are those of all items, counted in Spark; items are indexed in shards of bounded
+size, one after the other: a shard's index is broadcast, asked by every document, and given up before the next one is
+built. Neither the driver nor a worker holds more than one, and results do not depend on the number of shards.
 """
 
 from __future__ import annotations
@@ -12,9 +14,9 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Sequence
-from functools import reduce
+from collections.abc import Iterable, Mapping, Sequence
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import materialize
+
 #: A shard's bounds; more items make more shards.
 SHARD_ITEMS, SHARD_CHARS = 20_000, 8_000_000
 K1, B = 1.2, 0.75
@@ -63,10 +67,28 @@ def covered(words: Sequence[bytes], passage: Sequence[bytes]) -> float:
     return best / size
 
 
+class Statistics(NamedTuple):
+    """Of all items that have a word: how many, their words in all, the longest one's, and items by term."""
+
+    items: int
+    words: int
+    longest: int
+    df: Mapping[bytes, int]
+
+    @classmethod
+    def of(cls, texts: Iterable[str | None]) -> Statistics:
+        counts = [Counter(tokens(t or "")) for t in texts]
+        lengths = [sum(c.values()) for c in counts if c]
+        return cls(len(lengths), sum(lengths), max(lengths, default=1), Counter(t for c in counts for t in c))
+
+
 class ItemIndex:
-    """Posting lists of items in ascending order, impacts and their maxima by block and list."""
+    """Posting lists of items in ascending order, impacts and their maxima by block and list.
+
+    whole: the statistics of all items that impacts count by, if items are only a part of them."""
 
-    def __init__(self, items: Sequence[tuple[object, str, str | None, str | None]], least: float = LEAST_SCORE):
+    def __init__(self, items: Sequence[tuple[object, str, str | None, str | None]], least: float = LEAST_SCORE, whole: Statistics | None = None):
+        whole = whole or Statistics.of(item[1] for item in items)
         self.ids, self.parts, terms_of = [], [], []
         for key, text, question, answer in items:
             words = tokens(text or "")
@@ -75,17 +97,15 @@ class ItemIndex:
             self.ids.append(key)
             self.parts.append((grams(tokens(question)), grams(tokens(answer))) if question and answer else words)
             terms_of.append(Counter(words))
-        self.least = least
-        n = len(self.ids)
-        lengths = [sum(c.values()) for c in terms_of]
-        self.longest = max(lengths, default=1)
-        mean = sum(lengths) / n if n else 1.0
-        df = Counter(t for c in terms_of for t in c)
-        self.number = {t: i for i, t in enumerate(df)}
-        docs: list[list[int]] = [[] for _ in df]
-        impacts: list[list[float]] = [[] for _ in df]
+        self.least, self.longest = least, whole.longest
+        n, df = whole.items, whole.df
+        mean = whole.words / n if n else 1.0
+        here = Counter(t for c in terms_of for t in c)
+        self.number = {t: i for i, t in enumerate(here)}
+        docs: list[list[int]] = [[] for _ in here]
+        impacts: list[list[float]] = [[] for _ in here]
         for i, counts in enumerate(terms_of):
-            norm = K1 * (1 - B + B * lengths[i] / mean)
+            norm = K1 * (1 - B + B * counts.total() / mean)
             raw = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + norm) for t, tf in counts.items()}
             whole = sum(raw.values())
             for t, x in raw.items():
@@ -95,8 +115,8 @@ class ItemIndex:
         self.most = [max(x) for x in impacts]
         self.blocks = [[max(x[k : k + BLOCK]) for k in range(0, len(x), BLOCK)] for x in impacts]
         # light terms: the most frequent ones, while no item has more than SLACK of its score from them
-        used, self.heavy = [0.0] * n, {}
-        for t in sorted(df, key=lambda t: (-df[t], t)):
+        used, self.heavy = [0.0] * len(self.ids), {}
+        for t in sorted(here, key=lambda t: (-here[t], t)):
             k = self.number[t]
             if all(used[i] + x <= SLACK for i, x in zip(docs[k], impacts[k])):
                 for i, x in zip(docs[k], impacts[k]):
@@ -217,29 +237,61 @@ def _finder(index: Broadcast, schema: str):
     return F.pandas_udf(find, schema)
 
 
-def leaks(docs: DataFrame, items: DataFrame, text: str = "text", least: float = LEAST_SCORE) -> Column:
-    """A column over docs: the items found in the whole text, as item_id, score, question and answer (shares of
+def statistics(items: DataFrame, text: str = "text") -> tuple[DataFrame, int, int, int]:
+    """(term, df) of all items, a materialized table; and their number, words and longest, of those that have a word."""
+
+    @F.pandas_udf("struct<terms:array<binary>,words:bigint>")
+    def counted(column: pd.Series) -> pd.DataFrame:
+        each = [tokens(t or "") for t in column]
+        return pd.DataFrame({"terms": [sorted(set(words)) for words in each], "words": [len(words) for words in each]})
+
+    found = materialize(items.select(counted(text).alias("t")).select("t.*").where("words > 0"), "terms")
+    n, words, longest = found.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("words"), F.lit(1))).first()
+    return materialize(found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "df"), n, words, longest
+
+
+def with_leaks(docs: DataFrame, items: DataFrame, name: str = "leaks", text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """docs with a column name: the items found in the whole text, as item_id, score, question and answer (shares of
     n-grams; of an item without both columns twice the share of its words), first_word (of the passage). items:
-    item_id, text and, if there are any, question and answer.
+    item_id, text and, if there are any, question and answer; other columns are not read.
 
-    Items without a word match nothing; repeated items are each reported. Null and empty texts have an empty list.
-    Inverse document frequencies are those of an item's shard."""
+    Items without a word match nothing; repeated items are each reported. Null and empty texts have an empty list. Rows
+    are neither lost nor multiplied, repeated ones included. Items by item_id (as text), then text. With more than one
+    shard of items docs are written to the shared folder once, and every shard reads them again: work grows with
+    documents times shards of SHARD_ITEMS."""
     kind = items.schema["item_id"].dataType.simpleString()
     more = [F.col(c) if c in items.columns else F.lit(None).cast("string").alias(c) for c in ("question", "answer")]
-    chosen = items.select("item_id", "text", *more)
+    chosen = materialize(items.select("item_id", "text", *more), "items")
     rows, chars = chosen.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     shards = max(1, math.ceil(rows / SHARD_ITEMS), math.ceil(chars / SHARD_CHARS))
-    sharded = chosen.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    sharded = chosen.withColumn("shard", F.pmod(F.xxhash64("item_id", "text", F.lit(1)), F.lit(shards)))
+    df, n, words, longest = statistics(chosen)
     schema = f"array<struct<item_id:{kind},score:double,question:double,answer:double,first_word:int>>"
-    found = []
-    for shard in range(shards):
-        part = sharded.where(F.col("shard") == shard).drop("shard").collect()  # one shard: bounded
-        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(sorted(map(tuple, part), key=repr), least))
 
-        found.append(_finder(index, schema)(F.col(text)))
-    return reduce(lambda a, b: F.concat(a, b), found)
+    def index_of(shard: int) -> Broadcast:
+        part = sharded.where(F.col("shard") == shard).drop("shard")
+        held = sorted(map(tuple, part.collect()), key=lambda item: (str(item[0]), item[1] or ""))  # one shard: bounded
+        terms = [(bytearray(t),) for t in {t for item in held for t in tokens(item[1] or "")}]
+        own = df.join(F.broadcast(docs.sparkSession.createDataFrame(terms, "term binary")), "term")
+        whole = Statistics(n, words, longest, {bytes(r.term): r.df for r in own.collect()})
+        return docs.sparkSession.sparkContext.broadcast(ItemIndex(held, least, whole))
+
+    if shards == 1:
+        return docs.withColumn(name, _finder(index_of(0), schema)(F.col(text)))
+    at = f"_mr_row_{name}"
+    docs = materialize(docs.withColumn(at, F.monotonically_increasing_id()), "docs")
+    found = None
+    for shard in range(shards):
+        index = index_of(shard)
+        hits = docs.select(at, F.explode(_finder(index, schema)(F.col(text))).alias("hit"))
+        hits = materialize(hits, "hits")
+        index.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    lists = found.groupBy(at).agg(F.sort_array(F.collect_list(F.struct(F.col("hit.item_id").cast("string").alias("key"), "hit"))).alias("hits"))
+    lists = lists.select(at, F.transform("hits", lambda x: x["hit"]).alias(name))
+    return docs.join(lists, at, "left").withColumn(name, F.coalesce(name, F.array().cast(schema))).drop(at)
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs whose text holds no item, columns unchanged."""
-    return docs.withColumn("_mr_leaks", leaks(docs, items)).where(F.size("_mr_leaks") == 0).drop("_mr_leaks")
+    return with_leaks(docs, items, "_mr_leaks").where(F.size("_mr_leaks") == 0).drop("_mr_leaks")

@@ -74,7 +74,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that it holds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = table(spark, sf_dir, "benchmark")
-    found = docs.select("doc_id", F.explode(decontaminate.leaks(docs, items)).alias("leak"))
+    found = decontaminate.with_leaks(docs, items, "leaks").select("doc_id", F.explode("leaks").alias("leak"))
     return found.select("doc_id", "leak.*")
 
 

@@ -1,6 +1,7 @@
 """Secret scan, quality classifier, decontamination, substring dedup and near duplicates against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -107,7 +108,7 @@ def test_leaks(spark):
     texts = [filler(300), filler(150) + " " + ITEMS[0][1] + " " + filler(90), ITEMS[1][1].upper().replace(" ", "  "), None, "", "What is the tallest mountain of the far northern island chain?", filler(20_000) + ITEMS[0][1] + filler(10), " ".join(sorted(ITEMS[1][1].split())), ITEMS[0][1] + ITEMS[1][1]]
     frame = docs_of(spark, texts + [texts[1]], item_id=7, score=1.0)
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    found = frame.select("doc_id", F.explode(decontaminate.leaks(frame, items)).alias("leak")).select("doc_id", "leak.item_id").collect()
+    found = decontaminate.with_leaks(frame, items).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id").collect()
     assert sorted(map(tuple, found)) == [(1, 1), (2, 2), (2, 5), (6, 1), (8, 1), (8, 2), (8, 5), (9, 1)]
     kept = decontaminate.clean(frame, items)
     assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5, 7]
@@ -118,7 +119,7 @@ def test_shards_and_answer_columns(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 1)
     items = spark.createDataFrame([(i, t, "who ruled the city of glass for nine years", "queen odalind the patient") for i, t in ITEMS[:1]] + [(8, "who ruled the city of glass for nine years queen odalind the patient", "who ruled the city of glass for nine years", "queen odalind the patient")], "item_id bigint, text string, question string, answer string")
     frame = docs_of(spark, ["who ruled the city of glass for nine years and nobody knows", "who ruled the city of glass for nine years? Queen Odalind the Patient!"])
-    found = frame.select("doc_id", F.explode(decontaminate.leaks(frame, items)).alias("leak")).select("doc_id", "leak.item_id").collect()
+    found = decontaminate.with_leaks(frame, items).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id").collect()
     assert (1, 8) in map(tuple, found) and all(r.doc_id == 1 for r in found)
 
 
@@ -126,7 +127,7 @@ def test_changed_and_cut_items_without_columns_are_found(spark):
     words = ITEMS[1][1].split()
     changed = [" ".join("changed" if i == k else w for i, w in enumerate(words)) for k in range(len(words))]
     texts = [*changed, " ".join(words[: len(words) - 2]), " ".join(w + " and" for w in words), "salt marshes near Kelwater town", " ".join(words[::-1])]
-    found = docs_of(spark, texts).select("doc_id", decontaminate.leaks(docs_of(spark, texts), spark.createDataFrame(ITEMS[1:2], "item_id bigint, text string")).alias("l"))
+    found = decontaminate.with_leaks(docs_of(spark, texts), spark.createDataFrame(ITEMS[1:2], "item_id bigint, text string"), "l")
     assert [r.doc_id for r in found.orderBy("doc_id").collect() if r.l] == list(range(len(words) + 1))
 
 
@@ -143,6 +144,49 @@ def test_wand_returns_what_full_scoring_does():
         assert dict(index.search(query)) == pytest.approx({i: s for i, s in score.items() if s >= 0.3 - 1e-9})
 
 
+def plain_leaks(texts, items):
+    """Every passage scored against every item, no index: (document, item)."""
+    each = {i: decontaminate.tokens(t or "") for i, t in items}
+    each = {i: w for i, w in each.items() if w}
+    df, n = Counter(t for w in each.values() for t in set(w)), len(each)
+    mean, step = sum(map(len, each.values())) / n, max(map(len, each.values()))
+    found = set()
+    for d, text in enumerate(texts):
+        words = decontaminate.tokens(text or "")
+        for start in range(0, max(1, len(words) - step), step):
+            passage = words[start : start + 2 * step]
+            for i, own in each.items():
+                tf = Counter(own)
+                part = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * k * 2.2 / (k + 1.2 * (0.25 + 0.75 * len(own) / mean)) for t, k in tf.items()}
+                score = sum(x for t, x in part.items() if t in set(passage)) / sum(part.values())
+                if score >= 0.5 - 1e-9 and decontaminate.covered(own, passage) >= 0.75:
+                    found.add((d, i))
+    return found
+
+
+@pytest.mark.parametrize("shard", [1, 7, 20_000])
+def test_leaks_match_full_scoring_in_any_number_of_shards(spark, monkeypatch, shard):
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", shard)
+    rng = random.Random(41)
+    words = [f"w{i}" for i in range(150)]
+    say = lambda n: " ".join(rng.choices(words, [1 / (k + 1) for k in range(150)], k=n))
+    items = [(i, say(rng.randint(4, 40))) for i in range(12)] + [(12, ""), (13, None)]
+    texts = [say(rng.randint(0, 300)) for _ in range(25)] + [None, ""]
+    for i, t in items[:12]:
+        own = t.split()
+        own[rng.randrange(len(own))] = "changed"
+        texts += [say(30) + " " + t + " " + say(90), " ".join(own) + " " + say(5), " ".join(own[: len(own) // 2])]
+    clash = spark.createDataFrame([(i, t, 1.0, "x") for i, t in items], "item_id bigint, text string, doc_id double, shard string")
+    rows = decontaminate.with_leaks(docs_of(spark, texts + texts[:3], leak="y"), clash).select("doc_id", F.posexplode("leaks")).select("doc_id", "pos", "col.*").collect()
+    want = plain_leaks(texts, items)
+    want |= {(len(texts) + d, i) for d, i in want if d < 3}
+    assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want) >= 24
+    if shard < 20_000:
+        monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 20_000)
+        whole = decontaminate.with_leaks(docs_of(spark, texts + texts[:3]), clash).select("doc_id", F.posexplode("leaks")).select("doc_id", "pos", "col.*").collect()
+        assert sorted(map(str, whole)) == sorted(map(str, rows))
+
+
 # Substring dedup
 
 def plain_removal(texts, length):
