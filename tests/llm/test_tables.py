@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -32,6 +33,19 @@ PAGES = {
     "plain &lt;text&gt;  of\n\ttwo": "plain <text> of two",
     "<table><tr><td>1<td>2<tr><td>3</table>": "1 2 3",
     "<div>" * 3000 + "deep": "deep",
+    # names of boilerplate around the article
+    '<h1>T</h1><div class="content sidebar-right"><p>all of the text</p><div class="sidebar">s</div></div>': "T all of the text",
+    '<form action="/"><div><p>page in a form</p></div><form><input></form></form>': "page in a form",
+    '<form><nav>n</nav><article>in a form</article><div class="post-comments">c</div></form>': "in a form",
+    '<article class="post comments-open">kept</article><div class="comments"><article>a long comment</article></div>': "kept",
+    '<main class="promo-page">kept</main>': "kept",
+    '<div id="page" class="nav-fixed"><nav>n</nav>kept</div>': "kept",
+    '<div class="share-price-report">kept</div><div class="relatedPosts">no</div><div id=site-footer>no</div>': "kept",
+    # the region by its share
+    "<article><h1>T</h1></article><p>the body of the page stands here": "T the body of the page stands here",
+    "<main><h1>Title</h1><p>a long text of the page</p><article>teaser</article></main><p>more": "Title a long text of the page teaser",
+    "<article>a</article><article>b</article>": "a b",
+    '<article>short</article><section id="comments">' + "<p>a very long comment of a reader</p>" * 4 + "</section>": "short",
 }
 
 
@@ -60,6 +74,51 @@ def test_copies_of_a_page_hide_no_template(spark):
     assert got == {i: f"Text number {k} says {k * k} and more" for i in range(100) for k in [i if i < 10 else 99]}
 
 
+def site_pages(hosts=3, each=14):
+    rng = random.Random(12)
+    say = lambda n: " ".join(rng.choice("ash birch cedar elm fir hazel lime maple oak pine rowan yew".split()) + str(rng.randrange(50)) for _ in range(n))
+    rows, texts = [], {}
+    for h in range(hosts):
+        nav, ads, foot = f"<ul><li>{say(2)}<li>{say(1)}</ul>", [f"<div>{say(4)}</div>" for _ in range(2)], f"<div>{say(5)}<table><tr><td>{say(2)}</table></div>"
+        for i in range(each - h * 5):
+            text = [say(rng.randint(10, 30)) for _ in range(3)]
+            body = "".join(f"<p>{t}</p>" for t in text)
+            rows.append((len(rows), f"http://h{h}.org/{i}", f"<html><body><nav>{nav}</nav>{ads[i % 2]}<div>{body}</div><footer>{foot}</footer>"))
+            texts[len(rows) - 1] = " ".join(text)
+    return rows, texts
+
+
+def test_templates_alone_remove_nav_advert_and_footer(spark):
+    rows, texts = site_pages()
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id int, url string, html string"), named=False).collect()}
+    large = [i for i, url, _ in rows if "h0" in url]
+    assert len(large) == 14 and all(got[i] == texts[i] for i in large)
+    assert all(got[i] != texts[i] for i, url, _ in rows if "h2" in url)  # 4 pages make no template
+
+
+def test_templates_match_a_plain_count(spark):
+    rows, _ = site_pages()
+    count = defaultdict(set)
+    for _, url, html in rows:
+        page = html_extract.Page(html)
+        for h in page.hashes:
+            count[url.split("/")[2], h].add(page.digest())
+    want = {key for key, pages in count.items() if len(pages) >= html_extract.LEAST_PAGES}
+    frame = spark.createDataFrame(rows + rows[:20], "page_id int, url string, html string")
+    found = {tuple(r) for r in html_extract.site_templates(html_extract.parsed(frame)).collect()}
+    assert found == want and len(want) >= 8
+    for named in (True, False):
+        got = {r.page_id: r.text for r in html_extract.main_text(frame, named=named).collect()}
+        for i, url, html in rows:
+            assert got[i] == html_extract.Page(html).text({h for host, h in want if host == url.split("/")[2]}, named)
+
+
+def test_a_very_long_page(spark):
+    rows = [(0, "http://h.org", "<div><p>" + "word " * 400_000 + "</div><nav>n</nav>" * 2)]
+    (got,) = html_extract.main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    assert got.text == " ".join(["word"] * 400_000)
+
+
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_templates_of_a_few_pages_go_from_large_hosts(spark, monkeypatch, broadcast):
     if not broadcast:
