@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A side is broadcast only after counting it, and only up to this many rows.
 BROADCAST_ROWS = 200_000
+#: Edges of components that one task unites.
+LOCAL_EDGES = 1_000_000
 
 #: The separators of a word: space and the five ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -54,16 +60,45 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _united(edges: DataFrame) -> DataFrame:
+    """The components of a bounded number of edges, in one task."""
+    schema = T.StructType().add("node", edges.schema["a"].dataType).add("root", edges.schema["a"].dataType)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+
+        def end_of(node: object) -> object:
+            while (to := up.setdefault(node, node)) != node:
+                up[node] = up[to]  # halve the way for later ones
+                node = to
+            return node
+
+        for batch in batches:
+            for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                a, b = end_of(a), end_of(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        nodes = list(up)
+        for at in range(0, len(nodes), 65_536):
+            some = nodes[at : at + 65_536]
+            yield pa.RecordBatch.from_arrays([pa.array(some, arrow[0].type), pa.array([end_of(n) for n in some], arrow[1].type)], schema=arrow)
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), as (node, root) with root the smallest id; nodes without an edge are absent.
 
-    Each round points a node to its smallest neighbour, follows these pointers to their ends by doubling, and contracts
+    Up to LOCAL_EDGES different edges are one task's work. Beyond, in rounds: each round points a node to its smallest neighbour, follows these pointers to their ends by doubling, and contracts
     every tree of pointers to its end, until no edge is left. Two rounds at least halve the nodes that still have
     edges: an end that stays has, alone, a node that the first of them took away. So rounds, and doublings in a round,
     grow with the logarithm of a component's size whatever the order of ids. Edges and labels stay distributed; each
     step is written to the shared folder."""
     both = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = both = materialize(both, "edges")
+    if both.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
+        return materialize(_united(both), "labels")
     rounds = []
     while not both.isEmpty():
         # b points down to its smallest neighbour; a node with only larger neighbours is an end

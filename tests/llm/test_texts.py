@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, near_dup, quality, secret_scan, substring_dedup
+from millrace.llm import common, decontaminate, near_dup, quality, secret_scan, substring_dedup
 from millrace.llm.common import components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -239,8 +239,11 @@ def plain_links(texts, words=5, threshold=0.8):
     return [len(x) for x in linked], group
 
 
-def test_links_match_a_plain_join(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK", 8)
+@pytest.mark.parametrize("small", [True, False])
+def test_links_match_a_plain_join(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(near_dup, "LEAST_BLOCK", 8)
+        monkeypatch.setattr(common, "LOCAL_EDGES", 0)
     rng = random.Random(6)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
     base = [rng.choices(vocabulary, k=150) for _ in range(12)]
@@ -271,13 +274,66 @@ def test_depth_is_the_longest_that_reaches_the_recall():
     assert 1 - (1 - 0.8**k) ** near_dup.TREES >= near_dup.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** near_dup.TREES
 
 
-def test_components(spark):
+def test_prefixes_are_as_long_as_the_links_allow():
+    trees, recall = near_dup.TREES, near_dup.RECALL
+    least = near_dup.depth(0.8, trees, recall)
+    top, bottom = near_dup.STEPS - 1, 0
+    assert near_dup.shortened({}, 0.8, trees, recall, 8) == near_dup.shortened({bottom: 10**6}, 0.8, trees, recall, 8) == least
+    assert near_dup.shortened({top: 10**6}, 0.8, trees, recall, 8) == 8
+    mixed = {top: 10**6, bottom: 400}
+    length = near_dup.shortened(mixed, 0.8, trees, recall, 8)
+    there = {0.8: 400 / near_dup.met(0.8, 8, trees) + 1, 0.996: 10**6}
+    share = lambda d: sum(n * near_dup.met(s, d, trees) for s, n in there.items()) / sum(there.values())
+    assert share(length) >= recall and (length == 8 or share(length + 1) < recall)
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_forest_finds_shared_prefixes_over_all_ranges(spark, ranges):
+    rng = random.Random(31)
+    trees, width = 5, near_dup.FULL + 1
+    rows = {}
+    for k in range(160):
+        label = b"".join(bytes([t]) + bytes(rng.choices(range(2), [4, 1], k=near_dup.FULL)) for t in range(trees))
+        rows[hashlib.blake2b(bytes([k]), digest_size=near_dup.ID).digest()] = label
+    frame = spark.createDataFrame([(bytearray(c), bytearray(x)) for c, x in rows.items()], "class binary, labels binary")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        found = [(bytes(r["class"]), bytes(r.label), r.shared, r.lead and bytes(r.lead)) for r in near_dup._forest(frame, trees, 6).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    places = [(x[t * width : (t + 1) * width], c) for c, x in rows.items() for t in range(trees)]
+    common_ = lambda a, b: next((i for i in range(width) if a[i] != b[i]), width) - 1
+    got = {(label, c): shared for c, label, shared, _ in found if shared}
+    for label, c in places:
+        want = max(common_(label, other) for other, d in places if d != c)
+        assert got.get((label, c), 0) >= (want if want >= 6 else 0)  # ends of ranges are given as equal to what is beyond
+    extra = [k for k, v in got.items() if v > max(common_(k[0], other) for other, d in places if d != k[1])]
+    assert len(extra) <= 2 * ranges
+    # leads join exactly the classes with an equal label
+    up = {r.node: r.root for r in components(spark.createDataFrame([(bytearray(c), bytearray(lead)) for c, _, _, lead in found if lead], "a binary, b binary")).collect()} if any(x[3] for x in found) else {}
+    plain = spark.createDataFrame([(bytearray(c), bytearray(d)) for a, c in places for b, d in places if a == b and c < d], "a binary, b binary")
+    want = {bytes(r.node): bytes(r.root) for r in components(plain).collect()}
+    up = {bytes(n): bytes(r) for n, r in up.items()}
+    for c in rows:
+        for d in rows:
+            assert (up.get(c, c) == up.get(d, d)) == (want.get(c, c) == want.get(d, d))
+
+
+@pytest.fixture(params=[0, common.LOCAL_EDGES])
+def local_edges(request, monkeypatch):
+    monkeypatch.setattr(common, "LOCAL_EDGES", request.param)
+
+
+def test_components(spark, local_edges):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (5, 5), (20, 30), (30, 10), (10, 20), *[(100 + i, 101 + i) for i in range(25)], *[(200, 201 + i) for i in range(30)]]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**dict.fromkeys((1, 2, 3), 1), **dict.fromkeys((6, 7, 8, 9), 6), **dict.fromkeys((10, 20, 30), 10), **dict.fromkeys(range(100, 126), 100), **dict.fromkeys(range(200, 231), 200)}
 
 
-def test_components_of_a_long_ordered_chain(spark):
+def test_components_of_a_long_ordered_chain(spark, local_edges):
     edges = [(i, i + 1) for i in range(200)] + [(1000 + i, 2000 + i) for i in range(40)] + [(1001 + i, 2000 + i) for i in range(40)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**dict.fromkeys(range(201), 0), **dict.fromkeys([*range(1000, 1041), *range(2000, 2040)], 1000)}
