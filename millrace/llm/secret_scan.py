@@ -1,9 +1,10 @@
 """Secret scan through a trigram inverted index.
 
 From each rule's regex a Boolean trigram query is derived: what any match must contain. Every block of documents
-gets an inverted index, a posting list of rows per trigram that some rule needs; a rule's query intersects and unites
-posting lists, and only the rows that remain are searched with the regex. A rule without mandatory trigrams searches
-every row. Blocks are built where the documents are: nothing is shuffled, and the index is as large as its block.
+gets an inverted index in one pass over its characters, a posting list of rows per trigram that some rule needs; a rule's
+query intersects and unites posting lists, and only the rows that remain are searched with the regex. A rule without
+mandatory trigrams searches every row. Blocks are built where the documents are: nothing is shuffled, and the index is as
+large as its block.
 """
 
 from __future__ import annotations
@@ -11,8 +12,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
-from re import _constants as ops
-from re import _parser as parser
 
 import numpy as np
 import pandas as pd
@@ -20,7 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: An index block ends after this many characters (a longer text is a block of its own).
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 #: Alternatives of a pattern part that are kept apart before they are folded into a query.
 MOST_STRINGS = 24
 
@@ -44,8 +43,9 @@ class Rule:
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
-    Rule("hex", r"[0-9a-f]+", 0, 16),
-    Rule("private_key", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"),
+    Rule("hex", r"[0-9a-f]{16,}"),
+    # the whole key: header, key lines (or what stands for their ends inside a string), and the last line if it is there
+    Rule("private_key", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:[\x09-\x0D\x20]+(?:Proc-Type|DEK-Info):[^\x0A\x0D]*)*[A-Za-z0-9+/=\x09-\x0D\x20\\]*(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
@@ -89,47 +89,128 @@ class _State:
         self.query, self.strings = _both(self.query, _any_of(self.strings)), {""}
 
 
-def _read(nodes, state: _State) -> None:
-    for op, arg in nodes:
-        if op is ops.LITERAL:
-            state.then({chr(arg).lower()})
-        elif op is ops.SUBPATTERN:
-            _read(arg[-1], state)
-        elif op is ops.BRANCH:
-            exact, queries = set(), []
-            for branch in arg[1]:
-                inner = _State()
-                _read(branch, inner)
-                exact |= inner.strings if inner.query is None and exact is not None else set()
-                exact = None if inner.query is not None else exact
-                queries.append(_both(inner.query, _any_of(inner.strings)))
-                if exact is None:
-                    continue
-            if exact is not None and len(exact) <= MOST_STRINGS and "" not in exact:
-                state.then(exact)
+class _Parser:
+    """Reads the part of the regex language that rules use; anything else is an error.
+
+    Nodes: a character; a set of characters (None: too many to list); ("all", nodes); ("any", nodes);
+    ("repeat", node, least, most)."""
+
+    LISTED = 8  # characters of a set that are told apart
+
+    def __init__(self, pattern: str):
+        self.text, self.at = pattern, 0
+        self.tree = self.any()
+        if self.at < len(pattern):
+            raise ValueError(f"unexpected {pattern[self.at]!r} at {self.at} of {pattern!r}")
+
+    def take(self, text: str) -> bool:
+        found = self.text.startswith(text, self.at)
+        self.at += len(text) * found
+        return found
+
+    def any(self) -> tuple:
+        branches = [self.all()]
+        while self.take("|"):
+            branches.append(self.all())
+        return branches[0] if len(branches) == 1 else ("any", branches)
+
+    def all(self) -> tuple:
+        nodes = []
+        while self.at < len(self.text) and self.text[self.at] not in "|)":
+            node = self.one()
+            counts = re.compile(r"([?*+])|\{(\d+)(,?)(\d*)\}").match(self.text, self.at)
+            if counts:
+                self.at = counts.end()
+                sign, least, comma, most = counts.groups()
+                bounds = {"?": (0, 1), "*": (0, None), "+": (1, None)}[sign] if sign else (int(least), int(most) if most else None if comma else int(least))
+                self.take("?")  # lazy: the same matches for a query
+                node = ("repeat", node, *bounds)
+            nodes.append(node)
+        return ("all", nodes)
+
+    def one(self) -> object:
+        if self.take("("):
+            if self.text.startswith("?", self.at) and not self.take("?:"):
+                raise ValueError(f"unknown group at {self.at} of {self.text!r}")
+            node = self.any()
+            if not self.take(")"):
+                raise ValueError(f"open group in {self.text!r}")
+            return node
+        if self.take("["):
+            return self.set()
+        if self.take("."):
+            return (None,)
+        char = self.char()
+        return char if isinstance(char, str) else (None,)
+
+    def char(self) -> str | None:
+        """One literal character, None for an escape that means many."""
+        char, self.at = self.text[self.at], self.at + 1
+        if char in "^$":
+            raise ValueError(f"unknown {char!r} in {self.text!r}")
+        if char != "\\":
+            return char
+        char, self.at = self.text[self.at], self.at + 1
+        if char == "x":
+            self.at += 2
+            return chr(int(self.text[self.at - 2 : self.at], 16))
+        if char in "dDsSwW":
+            return None
+        if char.isalnum():
+            raise ValueError(f"unknown \\{char} in {self.text!r}")
+        return char
+
+    def set(self) -> object:
+        found, many = set(), self.take("^")
+        while not self.take("]"):
+            char = self.char()
+            if char is not None and self.text.startswith("-", self.at) and not self.text.startswith("-]", self.at):
+                self.at += 1
+                last = self.char()
+                found.update(map(chr, range(ord(char), ord(last) + 1)))
+            elif char is None:
+                many = True
             else:
-                state.settle()
-                if None not in queries:
-                    state.query = _both(state.query, ("or", frozenset(queries)) if len(set(queries)) > 1 else queries[0])
-        elif op is ops.IN and all(k is ops.LITERAL for k, _ in arg) and len(arg) <= 8:
-            state.then({chr(c).lower() for _, c in arg})
-        elif op in (ops.MAX_REPEAT, ops.MIN_REPEAT) and arg[:2] == (0, 1) and len(arg[2]) == 1 and arg[2][0][0] is ops.LITERAL:
-            state.then({"", chr(arg[2][0][1]).lower()})
-        elif op in (ops.MAX_REPEAT, ops.MIN_REPEAT) and arg[0] >= 1:
-            state.settle()
+                found.add(char)
+        return (None,) if many or len({c.lower() for c in found}) > self.LISTED else frozenset(found)
+
+
+def _read(node: object, state: _State) -> None:
+    if isinstance(node, str):
+        state.then({node.lower()})
+    elif isinstance(node, frozenset):
+        state.then({c.lower() for c in node})
+    elif node[0] == "all":
+        for part in node[1]:
+            _read(part, state)
+    elif node[0] == "any":
+        exact, queries = set(), []
+        for branch in node[1]:
             inner = _State()
-            _read(arg[2], inner)
-            state.query = _both(state.query, _both(inner.query, _any_of(inner.strings)))
-        elif op is ops.AT:
-            continue
-        else:  # what is optional or matches too much ends the string
+            _read(branch, inner)
+            exact = exact | inner.strings if exact is not None and inner.query is None else None
+            queries.append(_both(inner.query, _any_of(inner.strings)))
+        if exact is not None and len(exact) <= MOST_STRINGS and "" not in exact:
+            state.then(exact)
+        else:
             state.settle()
+            if None not in queries:
+                state.query = _both(state.query, ("or", frozenset(queries)) if len(set(queries)) > 1 else queries[0])
+    elif node[0] == "repeat" and node[2:] == (0, 1) and isinstance(node[1], str):
+        state.then({"", node[1].lower()})
+    elif node[0] == "repeat" and node[2] >= 1:
+        state.settle()
+        inner = _State()
+        _read(node[1], inner)
+        state.query = _both(state.query, _both(inner.query, _any_of(inner.strings)))
+    else:  # what is optional or matches too much ends the string
+        state.settle()
 
 
 def trigram_query(pattern: str):
     """The Boolean query that the lower-cased text of any match satisfies; None if there is none."""
     state = _State()
-    _read(parser.parse(pattern), state)
+    _read(_Parser(pattern).tree, state)
     state.settle()
     return state.query
 
@@ -138,13 +219,40 @@ def trigrams_of(query) -> set[str]:
     return set() if query is None else {query} if isinstance(query, str) else set().union(*map(trigrams_of, query[1]))
 
 
+#: ASCII characters by code, A-Z lower-cased; all others are one character that no two of can be told apart.
+_CODES = np.array([ord(chr(c).lower()) for c in range(128)], np.uint8)
+_OTHER = 0
+
+
+def _coded(text: str) -> list[int]:
+    return [int(_CODES[ord(c)]) if ord(c) < 128 else _OTHER for c in text]
+
+
 class TrigramIndex:
-    """Posting lists of one block for the trigrams asked for."""
+    """Posting lists of one block for the trigrams asked for, from one pass over its characters.
+
+    Characters beyond ASCII count as one: a posting list may hold rows without the trigram, and lacks none with it."""
 
     def __init__(self, texts: Sequence[str], trigrams: Iterable[str]):
-        lowered = [t.lower() for t in texts]
         self.rows = len(texts)
-        self.postings = {g: np.array([i for i, t in enumerate(lowered) if g in t], dtype=np.int64) for g in trigrams}
+        wanted = sorted(trigrams)
+        numbers: dict[int, list[str]] = {}
+        for g in wanted:
+            a, b, c = _coded(g)
+            numbers.setdefault((a * 128 + b) * 128 + c, []).append(g)
+        slots = np.zeros(1 << 21, np.int32)
+        slots[list(numbers)] = np.arange(1, len(numbers) + 1)
+        lengths = np.fromiter((len(t) + 2 for t in texts), np.int64, self.rows)
+        # two separators that no trigram has part the texts
+        chars = np.frombuffer("".join(t + "\x01\x01" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.where(chars < 128, _CODES[np.minimum(chars, 127)], _OTHER).astype(np.int32)
+        slot = slots[(codes[:-2] * 128 + codes[1:-1]) * 128 + codes[2:]] if len(codes) > 2 else np.zeros(0, np.int32)
+        at = np.flatnonzero(slot)
+        row = np.searchsorted(np.cumsum(lengths), at, side="right")
+        pairs = np.unique(slot[at].astype(np.int64) * max(1, self.rows) + row)
+        of, row = np.divmod(pairs, max(1, self.rows))
+        cuts = np.searchsorted(of, np.arange(1, len(numbers) + 2))
+        self.postings = {g: row[cuts[i] : cuts[i + 1]] for i, names in enumerate(numbers.values()) for g in names}
 
     def candidates(self, query) -> np.ndarray:
         if query is None:
