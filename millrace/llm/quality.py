@@ -8,6 +8,8 @@ the same model. Only the fit is bounded: it sees at most sample labelled rows (w
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,12 +23,15 @@ DIM = 8
 #: Labelled rows that a fit sees at most.
 SAMPLE = 3000
 EPOCHS, RATE, SEED = 12, 2.0, 11
+#: A longer text is read in parts of about this many characters, cut at blanks.
+PART_CHARS = 1 << 20
 
 _BASE = np.uint64(0x100000001B3)
 _BACK = np.uint64(pow(0x100000001B3, -1, 2**64))
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - BUCKET_BITS)
 _REPEAT = 0
+_BLANK = re.compile(r"[\x20\x09-\x0D]")
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -44,23 +49,42 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return ((h * _SPREAD) >> _SHIFT).astype(np.int64)
 
 
-def features(text: str) -> np.ndarray:
-    """The buckets of a text's features, repeats included; empty for an empty text."""
-    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    n = len(chars)
-    if not n:
-        return np.zeros(0, np.int64)
-    up, down = _power_tables(n)
-    blank = (chars == 33) | ((chars >= 10) & (chars <= 14))  # space and control blanks, plus 1
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
-    start, end = edge[::2], edge[1::2]
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(chars * up[:n], dtype=np.uint64)))
-    words = (sums[end] - sums[start]) * down[start]
-    pairs = words[:-1] * np.uint64(31) + words[1:] * np.uint64(17) + np.uint64(7)
-    paired = np.where(words[:-1] == words[1:], _REPEAT, _bucket(pairs))
-    threes = (chars[:-2] * _BASE + chars[1:-1]) * _BASE + chars[2:] if n >= 3 else np.zeros(0, np.uint64)
-    fours = threes[:-1] * _BASE + chars[3:] if n >= 4 else np.zeros(0, np.uint64)
-    return np.concatenate((_bucket(words), paired, _bucket(threes), _bucket(fours)))
+def features(text: str) -> Iterator[np.ndarray]:
+    """The buckets of a text's features, repeats included, part by part; nothing for an empty text.
+
+    A part knows the last word and the last three characters before it, so that parts change no feature."""
+    at, last, before = 0, None, ""
+    while at < len(text):
+        end = len(text)
+        if end - at > PART_CHARS:
+            m = _BLANK.search(text, at + PART_CHARS)
+            end = m.end() if m else end
+        part = text[at:end]
+        lead = np.frombuffer((before + part).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        chars = lead[len(before) :]
+        n = len(chars)
+        up, down = _power_tables(n)
+        blank = (chars == 33) | ((chars >= 10) & (chars <= 14))  # space and control blanks, plus 1
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
+        start, stop = edge[::2], edge[1::2]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(chars * up[:n], dtype=np.uint64)))
+        words = (sums[stop] - sums[start]) * down[start]
+        line = words if last is None else np.concatenate((last, words))
+        pairs = line[:-1] * np.uint64(31) + line[1:] * np.uint64(17) + np.uint64(7)
+        paired = np.where(line[:-1] == line[1:], _REPEAT, _bucket(pairs))
+        threes = (lead[:-2] * _BASE + lead[1:-1]) * _BASE + lead[2:] if len(lead) >= 3 else np.zeros(0, np.uint64)
+        fours = threes[:-1] * _BASE + lead[3:] if len(lead) >= 4 else np.zeros(0, np.uint64)
+        yield np.concatenate((_bucket(words), paired, _bucket(threes[max(0, len(before) - 2) :]), _bucket(fours)))
+        last, before, at = line[-1:] if len(line) else None, (before + part)[-3:], end
+
+
+def counts_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a text, ascending, and how often each stands."""
+    found = np.zeros(BUCKETS, np.int64)
+    for part in features(text):
+        found += np.bincount(part, minlength=BUCKETS)
+    buckets = np.flatnonzero(found)
+    return buckets, found[buckets]
 
 
 @dataclass(frozen=True)
@@ -71,8 +95,11 @@ class Model:
     offset: float
 
     def score(self, text: str | None) -> float:
-        found = features(text or "")
-        odds = self.offset + (float(self.weight[found].mean(dtype=np.float64)) if len(found) else 0.0)
+        total, n = 0.0, 0
+        for part in features(text or ""):
+            total += float(self.weight[part].sum(dtype=np.float64))
+            n += len(part)
+        odds = self.offset + (total / n if n else 0.0)
         return float(1 / (1 + np.exp(-np.clip(odds, -40, 40))))
 
 
@@ -102,7 +129,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, key: str, lab
     # as bytes: a list of numbers would take many times the memory on the driver
     @F.pandas_udf("struct<buckets:binary,counts:binary>")
     def counted(column: pd.Series) -> pd.DataFrame:
-        pairs = [np.unique(features(t or ""), return_counts=True) for t in column]
+        pairs = [counts_of(t or "") for t in column]
         return pd.DataFrame({"buckets": [b.astype(np.uint16).tobytes() for b, _ in pairs], "counts": [c.astype(np.int32).tobytes() for _, c in pairs]})
 
     rows = one.select("_mr_key", F.col("_mr_label").alias("label"), counted("text").alias("f")).select("_mr_key", "label", "f.*")
