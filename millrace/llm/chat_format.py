@@ -15,8 +15,10 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-BATCH = 4096
+#: Rows read and sent together at most, and characters that end a batch sent.
+BATCH, BATCH_CHARS = 1024, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -82,11 +84,13 @@ SEGMENTS = "struct<conv_id:{0},segment:bigint,turn_no:bigint,text:string,loss:bo
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
+    chars = 0
     for row in rows:
         held.append(row)
-        if len(held) >= BATCH:
+        chars += sum(len(x) for x in row if isinstance(x, str))
+        if len(held) >= BATCH or chars >= BATCH_CHARS:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-            held = []
+            held, chars = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
@@ -111,13 +115,11 @@ def format_segments(turns: DataFrame, template: Template = INSTRUCT) -> DataFram
     Null roles and texts are empty; an empty role is another role. Equal turn numbers: by role, then text. A null
     conv_id is a conversation too. Each conversation is in one partition, in order. An empty table gives no rows."""
     out = SEGMENTS.format(turns.schema["conv_id"].dataType.simpleString())
+    key_type = to_arrow_type(turns.schema["conv_id"].dataType)
     frame = in_order(turns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_type = None
-
         def rows() -> Iterator[tuple]:
-            nonlocal key_type
             held, segment, number, state, problem = object(), 0, 0, template.start, None
             for conv, _, role, text in _rows(batches):
                 if conv != held:
@@ -133,8 +135,6 @@ def format_segments(turns: DataFrame, template: Template = INSTRUCT) -> DataFram
                     segment += 1
                 number += 1
 
-        types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-        key_type = types[out[len("struct<conv_id:") : out.index(",segment")]]
         schema = pa.schema([("conv_id", key_type), ("segment", pa.int64()), ("turn_no", pa.int64()), ("text", pa.string()), ("loss", pa.bool_()), ("state", pa.string()), ("problem", pa.string())])
         yield from _batches(rows(), schema)
 
@@ -173,7 +173,7 @@ DIGESTS = "conv_id {0}, n_turns bigint, turns_sha256 string, loss_chars bigint,
 
 def digests(segments: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     """What can be read back from format_segments(): one row per conversation, hashed as it streams by."""
-    key = segments.schema["conv_id"].dataType.simpleString()
+    key, key_type = segments.schema["conv_id"].dataType.simpleString(), to_arrow_type(segments.schema["conv_id"].dataType)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -201,8 +201,7 @@ def digests(segments: DataFrame, template: Template = INSTRUCT) -> DataFrame:
                 problem = last[6] or (None if last[5] in template.final else f"ends after {last[5]}")
                 yield conv, turns, all_turns.hexdigest(), loss_chars, learned.hexdigest(), chars, problem is None, problem
 
-        types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-        schema = pa.schema([("conv_id", types[key]), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_()), ("problem", pa.string())])
+        schema = pa.schema([("conv_id", key_type), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_()), ("problem", pa.string())])
         yield from _batches(rows(), schema)
 
     return segments.mapInArrow(run, DIGESTS.format(key))
