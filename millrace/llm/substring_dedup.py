@@ -3,7 +3,7 @@
 The lengths double up to the wanted one (9, 18, 35 for 35). Below it a window is represented by its anchor, the
 smallest hash among its runs of the level's length: equal windows have equal anchors, so a window whose anchor stands
 nowhere else is out, and far fewer anchors than windows are counted. At the wanted length the windows themselves are
-counted. Documents that lose their last candidate are finished and leave; the rest go on to the next level.
+counted, by 128 bits: what 64 bits leave in by chance on the way goes there. Documents that lose their last candidate are finished and leave; the rest go on to the next level.
 
 Documents travel in chunks, rows of a table in the shared folder. A chunk sends each of its hashes once, in blocks by
 hash range, with a mark on those that it holds twice; the counting task of a range answers with one bit per hash. A
@@ -37,7 +37,7 @@ RANGE_HASHES = 250_000
 BROADCAST_BYTES = 32_000_000
 FIRST_LENGTH = 8
 
-_BASE = 0x9E3779B97F4A7C15
+_BASE, _SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _tables: dict[int, np.ndarray] = {}
 
 
@@ -75,6 +75,19 @@ def _sliding(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
     return x
 
 
+def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows, ascending; which of them each row is; whether it stands more than once."""
+    if rows.shape[1] == 1:
+        found, where, count = np.unique(rows[:, 0], return_inverse=True, return_counts=True)
+        return found[:, None], where, count > 1
+    order = np.lexsort(rows.T[::-1])
+    rows = rows[order]
+    new = np.concatenate((np.ones(min(1, len(rows)), bool), (rows[1:] != rows[:-1]).any(axis=1)))
+    where = np.empty(len(rows), np.int64)
+    where[order] = np.cumsum(new) - 1
+    return rows[new], where, np.bincount(where, minlength=int(new.sum())) > 1
+
+
 class Chunk:
     """Documents of a chunk: ids, UTF-8 texts, and which window starts are candidates still."""
 
@@ -105,28 +118,26 @@ class Chunk:
         self.doc = np.searchsorted(ends, start, side="right")
         self.bounds = np.searchsorted(start, np.concatenate(([0], ends)))
 
-    def runs(self, length: int) -> np.ndarray:
+    def runs(self, length: int, base: int = _BASE) -> np.ndarray:
         """The hash of the length words from each word on, also across documents; none that run over the end."""
         n = len(self.words)
         if n < length:
             return np.zeros(0, np.uint64)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.words * _powers(_BASE, n)[:n], dtype=np.uint64)))
-        return _mixed((sums[length:] - sums[:-length]) * _powers(pow(_BASE, -1, 2**64), n)[: n - length + 1])
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.words * _powers(base, n)[:n], dtype=np.uint64)))
+        return _mixed((sums[length:] - sums[:-length]) * _powers(pow(base, -1, 2**64), n)[: n - length + 1])
 
     def hashes(self, length: int, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The level's hash of each candidate window; each distinct one, ascending; whether it stands here twice."""
+        """The level's distinct hashes of candidate windows, a row each, ascending; which row each window has; whether a
+        row's hash stands here twice. Rows are of one number, at the wanted length of two."""
         runs = self.runs(level)
         whole = len(self.words) - length + 1
         if whole <= 0:
-            none = np.zeros(0, np.uint64)
             self.live = np.zeros(0, bool)
-            return none, none, np.zeros(0, bool)
+            return np.zeros((0, 1), np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
         if self.live is None:
             self.live = self.doc[:whole] == self.doc[length - 1 :]
         if level == length:
-            mine = runs[self.live]
-            distinct, count = np.unique(mine, return_counts=True)
-            return mine, distinct, count > 1
+            return distinct_rows(np.column_stack((runs[self.live], self.runs(level, _SECOND)[self.live])))
         width = length - level + 1
         anchor = _sliding(runs, width, np.minimum)
         # a run is an anchor if it is the smallest of some candidate window: the largest of those windows' anchors
@@ -139,7 +150,7 @@ class Chunk:
         missing = ~np.isin(mine, distinct)
         if missing.any():
             distinct, count = np.unique(np.concatenate((at, mine[missing])), return_counts=True)
-        return mine, distinct, count > 1
+        return distinct[:, None], np.searchsorted(distinct, mine), count > 1
 
     def keep(self, length: int, repeated: np.ndarray) -> Iterator[tuple]:
         """Take the answer for the candidate windows in; yield and drop the documents without any: id, words, 0, hash."""
@@ -233,8 +244,8 @@ def _counted(chunks: DataFrame, length: int, level: int, bits: int) -> DataFrame
                 for number, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload")):
                     chunk = Chunk.load(payload.as_py())
                     chunk.read()
-                    _, distinct, twice = chunk.hashes(length, level)
-                    of = distinct >> np.uint64(64 - bits) if bits else np.zeros(len(distinct), np.uint64)
+                    distinct, _, twice = chunk.hashes(length, level)
+                    of = _ranges(distinct, bits)
                     cuts = np.flatnonzero(np.diff(of)) + 1
                     for a, b in zip([0, *cuts], [*cuts, len(distinct)]):
                         if b > a:
@@ -243,9 +254,9 @@ def _counted(chunks: DataFrame, length: int, level: int, bits: int) -> DataFrame
         yield from _sent(rows(), up)
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, np.uint64) for x in group["hashes"]]
+        sets = [np.frombuffer(x, np.uint64).reshape(-1, 2 if level == length else 1) for x in group["hashes"]]
         weight = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=len(s)) + 1 for t, s in zip(group["twice"], sets)])
-        _, where = np.unique(np.concatenate(sets), return_inverse=True)
+        _, where, _ = distinct_rows(np.concatenate(sets))
         repeated = (np.bincount(where, weight) > 1)[where]
         cuts = np.cumsum([len(s) for s in sets])[:-1]
         return pd.DataFrame({"chunk": group["chunk"], "range": group["range"], "bits": [np.packbits(x).tobytes() for x in np.split(repeated, cuts)]})
@@ -255,9 +266,13 @@ def _counted(chunks: DataFrame, length: int, level: int, bits: int) -> DataFrame
     return back.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("range", "bits"))).alias("parts"))
 
 
+def _ranges(distinct: np.ndarray, bits: int) -> np.ndarray:
+    return distinct[:, 0] >> np.uint64(64 - bits) if bits else np.zeros(len(distinct), np.uint64)
+
+
 def _answered(distinct: np.ndarray, bits: int, parts: list[dict]) -> np.ndarray:
     """Whether each distinct hash of a chunk is repeated."""
-    of = distinct >> np.uint64(64 - bits) if bits else np.zeros(len(distinct), np.uint64)
+    of = _ranges(distinct, bits)
     numbers, sizes = np.unique(of, return_counts=True)
     if [p["range"] for p in parts] != numbers.tolist():
         raise ValueError("an answer is missing")
@@ -274,8 +289,8 @@ def _advanced(chunks: DataFrame, answers: DataFrame, length: int, level: int, bi
                     number, payload, parts = (batch.column(c)[i].as_py() for c in ("chunk", "payload", "parts"))
                     chunk = Chunk.load(payload)
                     chunk.read()
-                    mine, distinct, _ = chunk.hashes(length, level)
-                    repeated = _answered(distinct, bits, parts or [])[np.searchsorted(distinct, mine)]
+                    distinct, where, _ = chunk.hashes(length, level)
+                    repeated = _answered(distinct, bits, parts or [])[where]
                     done = chunk.results(length, repeated) if level == length else chunk.keep(length, repeated)
                     for row in done:
                         yield *row, None, None, None
@@ -295,7 +310,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, key: str = "doc_id", text:
     A word goes if a window of length words that covers it starts anywhere else too, in its own or another text;
     all windows are judged on the input. Null and empty texts have no words. Texts shorter than length lose nothing;
     equal texts of length or more words lose everything. Keys may be null or repeated. Other columns are not read.
-    Windows are compared by 64-bit hashes."""
+    Windows are compared by 128-bit hashes of their words."""
     schema = _schema(docs.schema[key].dataType)
     state = materialize(_chunked(docs.select(key, text), length, schema), "chunks")
     done = [state]
