@@ -84,15 +84,18 @@ SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(n, 0) AS n_removed, sh
 
 URLS = r"""
 WITH parsed AS (
-  SELECT page_id,
+  SELECT page_id, url,
          coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
 rules(action, rhost, rpath) AS (VALUES ('allow','org','/'), ('block','example.org','/es/'), ('block','example.org','/en/1'), ('allow','com','/fr/'), ('block','com','/de/')),
 best AS (
   SELECT page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(action, length(rhost || rpath)) AS action
-  FROM parsed JOIN rules ON ends_with('.' || host, '.' || rhost) AND starts_with(path, rpath) GROUP BY page_id)
-SELECT p.page_id, p.host, p.path, b.rule,
-       coalesce(b.action, CASE WHEN regexp_matches(p.host, '(^|\.)(spam-|ads-|cheap-pills|casino-win)') THEN 'block' ELSE 'allow' END) AS verdict
-FROM parsed p LEFT JOIN best b USING (page_id)
+  FROM parsed JOIN rules ON ends_with('.' || host, '.' || rhost) AND starts_with(path, rpath) GROUP BY page_id),
+named AS (
+  SELECT *, regexp_replace(regexp_replace(host, ':\d*$', ''), '^www\.', '') || '/' || regexp_replace(regexp_replace(path, '^/+', ''), '(/|\.html?|/index\.html?)$', '') AS entry
+  FROM parsed),
+listed AS (SELECT DISTINCT entry, true AS hit FROM named WHERE regexp_matches(host, '(^|\.)(spam-|ads-|cheap-pills|casino-win)') OR regexp_matches(url, '[?&]utm_source='))
+SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.action, CASE WHEN l.hit THEN 'block' ELSE 'allow' END) AS verdict
+FROM named p LEFT JOIN best b USING (page_id) LEFT JOIN listed l USING (entry)
 """

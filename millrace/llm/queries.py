@@ -16,8 +16,8 @@ URL_RULES = (
     url_filter.Rule("allow", "com", "/fr/"),
     url_filter.Rule("block", "com", "/de/"),
 )
-#: The list of op10: canonical URLs of every page on a host with one of these labels.
-LISTED_HOSTS = r"(^|\.)(spam-|ads-|cheap-pills|casino-win)"
+#: The list of op10: what campaign links lead to, and every page on a host with one of these labels, as canonical URLs.
+LISTED_QUERY, LISTED_HOSTS = r"[?&]utm_source=", r"(^|\.)(spam-|ads-|cheap-pills|casino-win)"
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule and verdict of every page's URL."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     host = url_filter.host_of(F.col("url"))
-    listed = pages.where(host.rlike(LISTED_HOSTS)).select(url_filter.canonical(host, url_filter.path_of(F.col("url"))).alias("entry"))
+    listed = pages.where(host.rlike(LISTED_HOSTS) | F.col("url").rlike(LISTED_QUERY)).select(url_filter.canonical(host, url_filter.path_of(F.col("url"))).alias("entry"))
     return url_filter.filter_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 

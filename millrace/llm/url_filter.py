@@ -45,7 +45,8 @@ def canonical(host: Column, path: Column) -> Column:
 def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
     """The longest fitting rule's text and action; null where none fits. Equal lengths: the earlier rule."""
     text, action = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for rule in sorted(rules, key=lambda r: len(r.host) + len(r.path)):  # later ones override
+    # what is longer, and of equally long what comes earlier, overrides
+    for _, rule in sorted(enumerate(rules), key=lambda x: (len(x[1].host) + len(x[1].path), -x[0])):
         dotted = F.concat(F.lit("."), host)
         fits = dotted.endswith("." + rule.host) & path.startswith(rule.path)
         text = F.when(fits, F.lit(rule.host + rule.path)).otherwise(text)
