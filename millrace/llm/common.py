@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: A side is broadcast only after counting it, and only up to this many rows.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only after measuring it, and only up to this many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
 #: Edges of components that one task unites.
 LOCAL_EDGES = 1_000_000
 
@@ -22,33 +23,82 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir, else the context's checkpoint folder. A temporary one only on
+    a local master, as in tests; on a cluster without either this raises."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Tables written since each of the open temporaries() began.
+_written: list[list[str]] = []
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The files go when the session's JVM ends."""
+    The files go when the enclosing temporaries() end, else when the session's JVM does."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    files, target = _folder(spark, path)
+    files.deleteOnExit(target)
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporaries(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete what materialize() writes within, at the end. What is to stay is taken off the list of folders."""
+    held: list[str] = []
+    _written.append(held)
+    try:
+        yield held
+    finally:
+        _written.remove(held)
+        for path in held:
+            files, target = _folder(spark, path)
+            files.delete(target, True)
+
+
+def _bytes_of(field: T.StructField) -> Column:
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return 16 + F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
+    if isinstance(field.dataType, (T.ArrayType, T.MapType)):
+        inner = field.dataType.elementType if isinstance(field.dataType, T.ArrayType) else None
+        if isinstance(inner, T.NumericType):
+            return 16 + 8 * F.greatest(F.size(column), F.lit(0)).cast("long")
+        return 16 + F.coalesce(F.length(F.to_json(F.struct(column))), F.lit(0)).cast("long")
+    if isinstance(field.dataType, T.StructType):
+        return 16 + F.coalesce(F.length(F.to_json(column)), F.lit(0)).cast("long")
+    return F.lit(8).cast("long")
+
+
+def is_small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    """Whether df may be broadcast: up to most rows and BROADCAST_BYTES. It should be cheap to read."""
+    size = F.lit(0).cast("long")
+    for field in df.schema:
+        size = size + _bytes_of(field)
+    rows, total = df.select(size.alias("n")).limit(most + 1).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return rows <= most and total <= BROADCAST_BYTES
+
+
 def join_counted(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
-    """Join to a side that is usually small: broadcast after counting it, else a shuffled join.
+    """Join to a side that is usually small: broadcast after measuring it, else a shuffled join.
 
-    small should be cheap to count (a materialized table)."""
-    rows = small.limit(most + 1).count()
-    return big.join(F.broadcast(small) if rows <= most else small, on, how)
+    small should be cheap to read (a materialized table)."""
+    return big.join(F.broadcast(small) if is_small(small, most) else small, on, how)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -155,6 +155,14 @@ def test_chat_round_trip(spark):
     assert chat_format.digests(chat_format.format_segments(frame.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["smallint", "date", "decimal(20,2)", "binary"])
+def test_keys_of_any_type(spark, kind):
+    frame = spark.createDataFrame([(1, "user", "q"), (2, "assistant", "é" * 50_000)], "turn int, role string, text string")
+    key = F.expr("to_date('2024-01-02')" if kind == "date" else f"cast('{'7' if kind != 'binary' else 'x'}' as {kind})")
+    (got,) = chat_format.digests(chat_format.format_segments(frame.withColumn("conv_id", key))).collect()
+    assert got.valid and got.n_turns == 2 and got.loss_chars == 50_000
+
+
 def test_turn_order(spark):
     cases = {1: "ua", 2: "sua", 3: "uu", 4: "u", 5: "au", 6: "uaua", 7: "usa", 8: "s"}
     names = {"u": "user", "a": "assistant", "s": "system"}
@@ -277,7 +285,7 @@ def plain_multiplier(sizes, target, most):
     low, high = -100.0, 100.0
     for _ in range(200):
         middle = (low + high) / 2
-        low, high = (middle, high) if (sizes * np.minimum(most, np.exp(middle * sizes))).sum() < target else (low, middle)
+        low, high = (middle, high) if (sizes * np.exp(np.minimum(math.log(most), middle * sizes))).sum() < target else (low, middle)
     return (low + high) / 2
 
 
@@ -330,6 +338,15 @@ def test_urls(spark):
     assert url_filter.filter_urls(frame.limit(0), listed, queries.URL_RULES).count() == 0
 
 
+def test_of_equally_long_rules_the_earlier_decides(spark):
+    frame = spark.createDataFrame([(1, "http://a.b.org/x/y")], "page_id int, url string")
+    rules = [url_filter.Rule("allow", "b.org", "/x"), url_filter.Rule("block", "org", "/x/y"), url_filter.Rule("block", "b.org", "/x")]
+    for chosen in (rules, rules[::-1]):
+        (got,) = url_filter.filter_urls(frame, spark.createDataFrame([], "entry string"), chosen).collect()
+        longest = [r for r in chosen if len(r.host + r.path) == max(len(x.host + x.path) for x in chosen)]
+        assert (got.rule, got.verdict) == (longest[0].host + longest[0].path, longest[0].action)
+
+
 def test_bloom_loses_nothing_and_passes_little(spark):
     listed = spark.range(4000).select(F.concat(F.lit("h.net/"), "id").alias("entry"))
     pages = spark.range(12000).select("id", F.concat(F.lit("http://www.h.net/"), "id", F.lit(".html")).alias("url"))
