@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, mixing, near_dup, quality, secret_scan
-from millrace.llm.common import materialize, table
+from millrace.llm.common import materialize, table, temporaries
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order. What a stage writes besides its result, and the result before it, go once it is done."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with temporaries(spark) as written:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+            result = written.pop()
+            written += [before] if before else []
+        before = result
     return STAGES[-1][1](spark, docs, sf_dir)
