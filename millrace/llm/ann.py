@@ -136,7 +136,8 @@ class MultiIndex:
         reached[self.of.get(key, [])] = True  # the query's own row takes no part
         waiting, apart = np.zeros(0, np.int64), np.zeros(0, np.uint8)
         found, scores = np.zeros(0, np.int64), np.zeros(0, np.float32)
-        probed, r = -1, 1
+        probed, r = -1, 1  # what has near copies is done at once; the others go on where chance alone would find k
+        chance = int(np.argmax((1 - _tails(bits)[500]) * len(self.ids) >= k))
         while True:
             before = reached.copy()
             for rows in self.within(far, probed + 1, r):
@@ -156,7 +157,7 @@ class MultiIndex:
                 found, scores = found[keep], scores[keep]
             if radius >= bits:
                 break
-            r += 1
+            r = max(r + 1, -(-(chance + 1) // m) - 1)
             if len(found) >= k:
                 worst = (float(np.partition(scores, len(scores) - k)[len(scores) - k]) - slack) / (largest * norm)
                 step = math.ceil(1000 * math.acos(max(-1.0, min(1.0, worst))) / math.pi)
@@ -234,7 +235,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
 
     def packs(frame: DataFrame, count: int, query: bool) -> DataFrame:
         numbered = frame.select(F.pmod(F.xxhash64("id", "v"), F.lit(count)).alias("number"), "id", "v")
-        dealt = numbered.repartition(3 * count, "number").sortWithinPartitions("number", "id", "v")
+        dealt = numbered.repartitionByRange(count, "number").sortWithinPartitions("number", "id", "v")
         return dealt.mapInArrow(lambda batches: _sent(pack(batches, query), schema, 64), schema)
 
     index = materialize(packs(rows, shards, False), "index").select(F.col("number").alias("shard"), F.lit(-1).cast("long").alias("block"), "payload")
@@ -259,7 +260,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
         return _sent(answers(), out, 8192)
 
     # a shard's index comes first, then the blocks stream past it
-    dealt = index.unionByName(blocked).repartition(3 * shards, "shard").sortWithinPartitions("shard", "block")
+    dealt = index.unionByName(blocked).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "block")
     found = dealt.mapInArrow(ask, out)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
