@@ -374,8 +374,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     roots = components(found.where(F.col("b").isNotNull()).select("a", "b")).withColumnRenamed("node", "class")
     links = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
-    named = roots.join(classes.select("class", "id"), "class")
-    named = named.join(named.groupBy("root").agg(F.min("id").alias("class_id")), "root").select("class", "class_id")
+    named = materialize(join_counted(classes.select("class", "id"), roots, ["class"]), "named")
+    named = join_counted(named, materialize(named.groupBy("root").agg(F.min("id").alias("class_id")), "tops"), ["root"]).select("class", "class_id")
     table = classes.select("class", F.col("id").alias("copy_id"), "docs").join(links, "class", "left").join(named, "class", "left")
     table = table.where("docs > 1 or links is not null")
     table = materialize(table.select("class", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "table")
