@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import ann, chat_format, html_extract, mixing, queries, url_filter
+from millrace.llm import ann, chat_format, html_extract, mixing, quality, queries, secret_scan, url_filter
 from millrace.llm.common import join_counted
 
 SF = "/root/testdata/sf0.001"
@@ -367,6 +368,65 @@ def test_contract_columns(spark):
         assert found.columns[: len(columns.split())] == columns.split()
 
 
+def test_pipeline_matches_plain_stages(spark):
+    """Every stage, run on all that the plain version of the one before kept, against a plain version of itself."""
+    from test_texts import plain_buckets, plain_leaks, plain_links, plain_spans
+
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    labels, items = spark.read.parquet(f"{SF}/labels.parquet"), [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    docs = {r.doc_id: r for r in frame.collect()}
+
+    def stage(name, kept):
+        return {r.doc_id: r for r in stages[name](spark, spark.createDataFrame(list(kept.values()), frame.schema), SF).collect()}
+
+    model = quality.fit(frame, labels)
+
+    def score(text):
+        found = plain_buckets(text or "")
+        return 1 / (1 + math.exp(-model.offset - (float(np.mean(model.weight[found], dtype=np.float64)) if found else 0.0)))
+
+    want = {k: r for k, r in docs.items() if score(r.text) >= 0.7}
+    assert stage("quality_classifier", docs) == want and 0 < len(want) < len(docs)
+
+    docs, keys = want, sorted(want)
+    _, group = plain_links([docs[k].text for k in keys])
+    want = {k: docs[k] for i, k in enumerate(keys) if group[i] == i}
+    assert stage("ngram_jaccard_join", docs) == want and len(want) < len(docs)
+
+    docs, keys = want, sorted(want)
+    leaked = {keys[d] for d, _ in plain_leaks([docs[k].text for k in keys], items)}
+    want = {k: r for k, r in docs.items() if k not in leaked}
+    assert stage("benchmark_decontamination", docs) == want
+
+    docs, want = want, {}
+    for k, r in docs.items():
+        text, covered = list(r.text or ""), [False] * len(r.text or "")
+        for _, start, end in plain_spans(r.text, secret_scan.RULES):
+            covered[start:end] = [True] * (end - start)
+        starts = {start for _, start, _ in plain_spans(r.text, secret_scan.RULES)}
+        for i, gone in enumerate(covered):
+            if gone:
+                text[i] = "[SECRET]" if i in starts and (i == 0 or not covered[i - 1]) else ""
+        want[k] = "".join(text)
+    got = stage("secret_scan", docs)
+    assert {k: (r.text or "", r.n_chars) for k, r in got.items()} == {k: (t, len(t)) for k, t in want.items()}
+
+    sizes, of = defaultdict(int), {}
+    for k, r in got.items():
+        of[k] = len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        sizes[r.source] += of[k]
+    targets = plain_targets(sizes, (3, 1, 2), 1.5, 2)
+    taken = defaultdict(int)
+    for k, r in stage("mixing", got).items():
+        own = np.array([of[i] for i, x in got.items() if x.source == r.source], float)
+        rate = 2.0 if targets[r.source] >= 2 * own.sum() * (1 - 1e-9) else min(2.0, math.exp(plain_multiplier(own, targets[r.source], 2.0) * of[k]))
+        assert (r.size, r.source_size) == (of[k], sizes[r.source]) and r.target == pytest.approx(targets[r.source]) and r.rate == pytest.approx(rate, rel=1e-6)
+        assert r.taken == r.copies * r.size and r.copies <= 2
+        taken[r.source] += r.taken
+    assert all(abs(taken[n] - targets[n]) <= max([of[k] for k, x in got.items() if x.source == n]) for n in sizes)
+
+
 def test_pipeline_keeps_columns_and_order(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "ngram_jaccard_join", "benchmark_decontamination", "secret_scan", "mixing"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
