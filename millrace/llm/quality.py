@@ -24,7 +24,7 @@ DIM = 8
 SAMPLE = 3000
 EPOCHS, RATE, SEED = 12, 2.0, 11
 #: A longer text is read in parts of about this many characters, cut at blanks.
-PART_CHARS = 1 << 20
+PART_CHARS = 1 << 18
 
 _BASE = np.uint64(0x100000001B3)
 _BACK = np.uint64(pow(0x100000001B3, -1, 2**64))

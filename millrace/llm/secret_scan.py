@@ -19,7 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: An index block ends after this many characters (a longer text is a block of its own).
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 #: Alternatives of a pattern part that are kept apart before they are folded into a query.
 MOST_STRINGS = 24
 
@@ -219,13 +219,12 @@ def trigrams_of(query) -> set[str]:
     return set() if query is None else {query} if isinstance(query, str) else set().union(*map(trigrams_of, query[1]))
 
 
-#: ASCII characters by code, A-Z lower-cased; all others are one character that no two of can be told apart.
-_CODES = np.array([ord(chr(c).lower()) for c in range(128)], np.uint8)
-_OTHER = 0
+#: ASCII characters by code, A-Z lower-cased; all others are one character, the last.
+_CODES = np.array([ord(chr(c).lower()) for c in range(128)] + [0], np.uint8)
 
 
 def _coded(text: str) -> list[int]:
-    return [int(_CODES[ord(c)]) if ord(c) < 128 else _OTHER for c in text]
+    return [int(_CODES[min(ord(c), 128)]) for c in text]
 
 
 class TrigramIndex:
@@ -245,8 +244,12 @@ class TrigramIndex:
         lengths = np.fromiter((len(t) + 2 for t in texts), np.int64, self.rows)
         # two separators that no trigram has part the texts
         chars = np.frombuffer("".join(t + "\x01\x01" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = np.where(chars < 128, _CODES[np.minimum(chars, 127)], _OTHER).astype(np.int32)
-        slot = slots[(codes[:-2] * 128 + codes[1:-1]) * 128 + codes[2:]] if len(codes) > 2 else np.zeros(0, np.int32)
+        codes = _CODES[np.minimum(chars, 128)]
+        key = codes[:-2].astype(np.int32)
+        for later in (codes[1:-1], codes[2:]):
+            key *= 128
+            key += later
+        slot = slots[key]
         at = np.flatnonzero(slot)
         row = np.searchsorted(np.cumsum(lengths), at, side="right")
         pairs = np.unique(slot[at].astype(np.int64) * max(1, self.rows) + row)
