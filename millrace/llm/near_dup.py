@@ -104,8 +104,10 @@ def labels(found: np.ndarray, trees: int, length: int) -> bytes:
     odd, flip = _factors(trees * length)
     low = (found >> np.uint64(32)).astype(np.uint32)
     least = np.full(trees * length, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), 1024):
-        np.minimum(least, ((low[at : at + 1024, None] ^ flip) * odd).min(axis=0), out=least)
+    for at in range(0, len(low), 256):  # what fits into a core's cache
+        some = low[at : at + 256, None] ^ flip
+        some *= odd
+        np.minimum(least, some.min(axis=0), out=least)
     values = (_mixed(least.astype(np.uint64) + np.uint64(_BASE)) >> np.uint64(56)).astype(np.uint8).reshape(trees, length)
     return np.column_stack((np.arange(trees, dtype=np.uint8), values)).tobytes()
 
